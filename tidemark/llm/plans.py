@@ -1,4 +1,148 @@
-"""The queries of the problems on training data."""
+"""The queries of the problems on training data, with their SQL statements where SQL can express them."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions.clean import BLANKS, UNKNOWN_TEXTS, iso, six_digits, token, utc_day
+from tidemark.llm.packing import pack
+from tidemark.llm.survivors import normalised, pivot_back, survivors, trust_votes
+from tidemark.llm.tokenizer import round_trips, token_ids, token_sizes
+from tidemark.session import bounded_broadcast, cut_lineage
+from tidemark.sources.tables import table, with_symbol
+
+SURVIVOR_FIELDS = ["aum", "fund_company", "fund_name", "iopv", "list_date", "management_fee", "nav", "shares", "tracking_index"]
+
+
+def _judged_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """The candidates with their policy, age and whether they have expired; sources outside the policy have no rank."""
+    policy = table(spark, folder, "resolution_policy").select("field_name", token("source").alias("_source"), "precedence_rank", "max_age_seconds")
+    rows = table(spark, folder, "field_candidates").select(
+        six_digits("symbol").alias("fund"), "as_of", "field_name", "candidate_id", "value", token("source").alias("_source"), token("freshness").alias("_fresh"),
+        F.coalesce("snapshot_at", "available_time").alias("seen_at"), "ingest_time", "provider_payload_hash",
+    )
+    rows = rows.join(bounded_broadcast(policy), ["field_name", "_source"], "left")
+    age = (F.unix_micros("as_of") - F.unix_micros("seen_at")) / F.lit(1_000_000)
+    expired = (
+        F.when(F.col("_fresh").isin("fresh", "not_applicable"), False)
+        .when(F.col("_fresh") == "expired", True)
+        .otherwise(F.col("max_age_seconds").isNotNull() & F.coalesce(age > F.col("max_age_seconds"), F.lit(True)))
+    )
+    return rows.withColumn("age", age).withColumn("expired", expired)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The surviving candidate of each fund, as_of and field with at least two candidates, by strictly ranked votes."""
+    rows = _judged_candidates(spark, folder)
+    order = F.struct(~F.col("expired"), -F.col("precedence_rank"), "seen_at", "ingest_time", "provider_payload_hash", -F.col("candidate_id"))
+    vote = F.when(F.col("precedence_rank").isNotNull(), order)
+    found = survivors(rows, group=["fund", "as_of", "field_name"], candidate="candidate_id", value=normalised("value"), vote=vote, order=order, keep=["candidate_id"])
+    return with_symbol(found, folder).select("symbol", iso(utc_day("as_of")).alias("as_of_date"), "field_name", "candidate_id")
+
+
+def p1_records(spark: SparkSession, folder: str) -> DataFrame:
+    """One record per fund and as_of: in each field the value with the most summed votes, pivoted back.
+
+    A vote is the inverse of the source's rank, halved for every max_age_seconds of age.
+    """
+    rows = _judged_candidates(spark, folder).withColumn("value", normalised("value"))
+    vote = trust_votes(F.lit(1.0) / F.col("precedence_rank"), F.col("age"), F.col("max_age_seconds"))
+    order = F.struct(-F.col("precedence_rank"), "seen_at", "ingest_time", "provider_payload_hash", -F.col("candidate_id"))
+    found = survivors(rows, group=["fund", "as_of", "field_name"], candidate="candidate_id", value=F.col("value"), vote=vote, order=order, keep=["value"])
+    wide = pivot_back(found, ["fund", "as_of"], SURVIVOR_FIELDS)
+    return with_symbol(wide, folder).select("symbol", F.unix_seconds("as_of").alias("as_of_second"), *SURVIVOR_FIELDS)
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The token ids of every document."""
+    return token_ids(table(spark, folder, "documents"))
+
+
+def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the ids of every document decode to its text, and their spans cover it."""
+    return round_trips(table(spark, folder, "documents"))
+
+
+def _document_packings(spark: SparkSession, folder: str) -> DataFrame:
+    """Packings of all documents: one for each profile's capacity alone, and one for all capacities jointly."""
+    sizes = cut_lineage(token_sizes(table(spark, folder, "documents")))  # 16 bytes a document; measured once
+    profiles = sorted((p.capacity_tokens, p.profile) for p in table(spark, folder, "pack_profiles").collect())  # fixed, 3 rows
+    plans = [(profile, [capacity]) for capacity, profile in profiles] + [("joint", [capacity for capacity, _ in profiles])]
+    return reduce(DataFrame.unionByName, [pack(sizes, capacities).withColumn("packing", F.lit(name)) for name, capacities in plans])
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place in containers of each profile's capacity, and of all capacities jointly."""
+    return _document_packings(spark, folder)
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers are, by packing and final capacity."""
+    each = _document_packings(spark, folder).groupBy("packing", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("tokens"), F.max("filled_tokens").alias("filled"), F.count("*").alias("pieces"))
+    return each.groupBy("packing", "capacity_tokens").agg(
+        F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"),
+        F.count_if(F.col("tokens") != F.col("filled")).alias("miscounted"), F.round(F.sum("tokens") / (F.count("*") * F.first("capacity_tokens")), 6).alias("filled_share"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p7_ids, p7_round_trip, p8_containers, p8_fill)}
+
+
+# --- the same in SQL -------------------------------------------------------------------------------------------------
+
+_BLANKS = "' ' || chr(9) || chr(13) || chr(10) || chr(160) || chr(12288)"
+_UNKNOWN = ", ".join(f"'{t}'" for t in UNKNOWN_TEXTS)
+assert len(BLANKS) == 6
+_DIGITS = lambda c: f"nullif(regexp_extract(translate({c}, '０１２３４５６７８９', '0123456789'), '(^|[^0-9])([0-9]{{6}})([^0-9]|$)', 2), '')"
+_TOKEN = lambda c: f"lower(trim({c}, {_BLANKS}))"
+
+_P1_ROWS = f"""
+funds AS (SELECT {_DIGITS('symbol')} AS fund, min(symbol) AS symbol FROM instruments GROUP BY 1),
+judged AS (
+  SELECT {_DIGITS('c.symbol')} AS fund, c.as_of, c.field_name, c.candidate_id, p.precedence_rank, p.max_age_seconds,
+    CASE WHEN {_TOKEN('c.value')} NOT IN ({_UNKNOWN}) THEN trim(c.value, {_BLANKS}) END AS value,
+    coalesce(c.snapshot_at, c.available_time) AS seen_at, c.ingest_time, c.provider_payload_hash,
+    (epoch_us(c.as_of) - epoch_us(coalesce(c.snapshot_at, c.available_time))) / 1e6 AS age, {_TOKEN('c.freshness')} AS fresh
+  FROM field_candidates c LEFT JOIN resolution_policy p ON p.field_name = c.field_name AND {_TOKEN('p.source')} = {_TOKEN('c.source')}
+),
+candidates AS (
+  SELECT DISTINCT *, CASE WHEN fresh IN ('fresh', 'not_applicable') THEN 0 WHEN fresh = 'expired' THEN 1
+    WHEN max_age_seconds IS NULL THEN 0 WHEN age > max_age_seconds THEN 1 ELSE 0 END AS expired
+  FROM judged WHERE fund IS NOT NULL
+),
+wanted AS (SELECT fund, as_of, field_name FROM candidates GROUP BY ALL HAVING count(DISTINCT candidate_id) > 1)"""
+
+_P1_FOUND = f"""
+WITH {_P1_ROWS}
+SELECT symbol, strftime(as_of AT TIME ZONE 'UTC', '%Y-%m-%d') AS as_of_date, field_name, candidate_id
+FROM candidates JOIN wanted USING (fund, as_of, field_name) JOIN funds USING (fund)
+WHERE value IS NOT NULL AND precedence_rank IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY fund, as_of, field_name
+  ORDER BY expired, precedence_rank, seen_at DESC, ingest_time DESC, provider_payload_hash DESC, candidate_id) = 1
+"""
+
+_SHORTEST = r"regexp_replace(regexp_replace(CAST(TRY_CAST(replace(value, ',', '') AS DECIMAL(38,12)) AS VARCHAR), '(\.[0-9]*?)0+$', '\1'), '\.$', '')"
+_PLAIN = r"regexp_replace(regexp_replace(lower(value), '\s+', ' ', 'g'), '\bmgmt\b', 'management', 'g')"
+
+_P1_RECORDS = f"""
+WITH {_P1_ROWS},
+ballots AS (
+  SELECT *, CASE WHEN field_name = 'tracking_index' THEN coalesce({_DIGITS('value')}, {_PLAIN}) ELSE coalesce({_SHORTEST}, {_PLAIN}) END AS plain,
+    CAST(round(1.0 / precedence_rank * coalesce(pow(0.5::DOUBLE, greatest(age, 0) / max_age_seconds), 1.0) * 1000000) AS BIGINT) AS vote,
+    row_number() OVER (ORDER BY precedence_rank DESC, seen_at, ingest_time, provider_payload_hash, candidate_id DESC) AS ord
+  FROM candidates JOIN wanted USING (fund, as_of, field_name) WHERE value IS NOT NULL AND precedence_rank IS NOT NULL
+),
+tally AS (SELECT fund, as_of, field_name, plain, sum(vote) AS votes, max(ord) AS ord FROM ballots GROUP BY ALL),
+won AS (SELECT fund, as_of, field_name, arg_max(plain, (votes, ord)) AS plain FROM tally GROUP BY ALL)
+SELECT symbol, CAST(epoch_us(as_of) // 1000000 AS BIGINT) AS as_of_second, {', '.join(f"max(plain) FILTER (WHERE field_name = '{f}') AS {f}" for f in SURVIVOR_FIELDS)}
+FROM won JOIN funds USING (fund) GROUP BY symbol, as_of
+"""
+
+SQL = {
+    "p1_found": _P1_FOUND,
+    "p1_records": _P1_RECORDS,
+    "p7_round_trip": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes, true AS exact FROM documents",
+}

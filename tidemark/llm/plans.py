@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.clean import BLANKS, UNKNOWN_TEXTS, iso, six_digits, token, utc_day
 from tidemark.llm.packing import pack
+from tidemark.llm.subjects import subject_posteriors
 from tidemark.llm.survivors import normalised, pivot_back, survivors, trust_votes
 from tidemark.llm.tokenizer import round_trips, token_ids, token_sizes
 from tidemark.session import bounded_broadcast, cut_lineage
@@ -88,7 +89,24 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p7_ids, p7_round_trip, p8_containers, p8_fill)}
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    areas = sorted(r.subject for r in table(spark, folder, "subject_areas").collect())  # fixed, 10 rows
+    return subject_posteriors(table(spark, folder, "documents"), table(spark, folder, "subject_labels"), areas)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The subjects that each document's claims are directed to."""
+    return _subjects(spark, folder).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus by subject: documents, and documents weighted by one over their number of subjects."""
+    found = _subjects(spark, folder)
+    each = found.join(found.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id")
+    return each.groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.sum(1 / F.col("n")), 6).alias("weighted"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p7_ids, p7_round_trip, p8_containers, p8_fill, p9_found, p9_composition)}
 
 
 # --- the same in SQL -------------------------------------------------------------------------------------------------

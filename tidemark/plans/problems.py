@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.clean import BLANKS, DIGITS, UNKNOWN_TEXTS, WIDE_DIGITS, iso, known_text, monday, number, six_digits, strip, token, utc_day
+from tidemark.functions.normalize import local_day
 from tidemark.operators.asof import attributes_as_of
 from tidemark.operators.history import observed_versions, reconstruct, store, validity
 from tidemark.operators.panes import pane_changes, window_corrections
@@ -78,7 +79,7 @@ def _bar_copies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     ours = bars.select(six_digits("symbol").alias("fund"), "trade_date", "ingest_time", "bar_seq", *map(_as_number, BAR_FIELDS))
     lots = F.lower(F.get_json_object("provider_payload", "$.unit")).eqNullSafe("lot")
     copy = table(spark, folder, "supplemental_bars").select(
-        six_digits("symbol").alias("fund"), F.to_date(F.from_utc_timestamp(F.to_utc_timestamp("provider_timestamp", F.current_timezone()), "Asia/Shanghai")).alias("trade_date"), "retrieved_at",
+        six_digits("symbol").alias("fund"), local_day("provider_timestamp").alias("trade_date"), "retrieved_at",
         *[number(f).alias(f) for f in ("open", "high", "low", "close", "turnover")],
         (F.col("volume") * F.when(lots, SHARES_A_LOT).otherwise(1)).cast("decimal(38,12)").alias("volume"),
     )

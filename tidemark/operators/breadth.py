@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.normalize import redundancy_band, structural
 
 
-def _rho(a: Column, b: Column, over=None) -> Column:
+def _rho(a: Column, b: Column) -> Column:
     """Pearson correlation; null for a constant side, where ``corr`` would divide by zero."""
-    wrap = (lambda c: c.over(over)) if over is not None else (lambda c: c)
-    return F.try_divide(wrap(F.covar_pop(a, b)), wrap(F.stddev_pop(a)) * wrap(F.stddev_pop(b)))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
 def ordered(returns: DataFrame, order: DataFrame | None = None) -> DataFrame:
@@ -79,11 +78,32 @@ def spectrum(matrix: np.ndarray) -> list[tuple[int, float, float]]:
     return [(i + 1, float(v), float(v / values.sum())) for i, v in enumerate(values)]
 
 
+_MOMENTS = {"a": ("a",), "b": ("b",), "ab": ("a", "b"), "aa": ("a", "a"), "bb": ("b", "b")}
+
+
 def rolling_correlations(returns: DataFrame, window: int, order: DataFrame | None = None) -> DataFrame:
-    """``(asset_1, asset_2, day, rho)`` over the last ``window`` common rows of each pair; full windows only."""
-    last = Window.partitionBy("asset_1", "asset_2").orderBy("day").rowsBetween(1 - window, 0)
-    rows = pairs(returns, order).select("asset_1", "asset_2", "day", F.count("*").over(last).alias("_n"), _rho(F.col("a"), F.col("b"), last).alias("rho"))
-    return rows.where(F.col("_n") == window).drop("_n")
+    """``(asset_1, asset_2, day, rho)`` over the last ``window`` common rows of each pair; full windows only.
+
+    The cost of a row does not grow with the window: rows are cut into blocks of ``window``, and a window's moments are the
+    running sum of its block so far plus the running sum, from the other end, of the rest of the block before. Nothing is
+    subtracted, so long series lose no digits. A side that is constant in the window has no correlation.
+    """
+    pair = ["asset_1", "asset_2"]
+    by_day = Window.partitionBy(*pair).orderBy("day")
+    rows = pairs(returns, order).withColumn("_i", F.row_number().over(by_day) - 1).withColumn("_block", F.expr(f"_i div {window}"))
+    rows = rows.select(*pair, "day", "_i", "_block", *[(F.col(m[0]) * F.col(m[1]) if len(m) > 1 else F.col(m[0])).alias(f"m_{n}") for n, m in _MOMENTS.items()])
+    ahead = Window.partitionBy(*pair, "_block").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*pair, "_block").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("*", *[F.sum(f"m_{n}").over(back).alias(f"s_{n}") for n in _MOMENTS])
+    rows = rows.select(*pair, "day", "_i", *[F.sum(f"m_{n}").over(ahead).alias(f"p_{n}") for n in _MOMENTS], *[f"s_{n}" for n in _MOMENTS])
+    whole = F.col("_i") % window == window - 1
+    total = [F.when(whole, F.col(f"p_{n}")).otherwise(F.col(f"p_{n}") + F.lag(f"s_{n}", window - 1).over(by_day)).alias(n) for n in _MOMENTS]
+    t = rows.select(*pair, "day", "_i", *total).where(F.col("_i") >= window - 1)
+    w = F.lit(float(window))
+    spread = lambda n: w * F.col(n + n) - F.col(n) * F.col(n)
+    moves = lambda n: F.when(spread(n) > w * F.col(n + n) * 1e-13, spread(n))
+    rho = F.try_divide(w * F.col("ab") - F.col("a") * F.col("b"), F.sqrt(moves("a")) * F.sqrt(moves("b")))
+    return t.select(*pair, "day", F.when(~F.isnan(rho), rho).alias("rho"))
 
 
 def rolling_statistics(returns: DataFrame, asked: DataFrame, windows: list[int], order: DataFrame | None = None) -> DataFrame:

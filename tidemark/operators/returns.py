@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.normalize import history_flag
 
 EXTREME_RETURN, LONG_GAP_DAYS = 0.50, 14
-BY_DAY = Window.partitionBy("asset").orderBy("day")
+
+
+def _by_day():
+    return Window.partitionBy("asset").orderBy("day")
 
 
 def usable(levels: DataFrame) -> DataFrame:
@@ -25,7 +28,7 @@ def require_series(levels: DataFrame) -> None:
 
 def daily_returns(levels: DataFrame) -> DataFrame:
     """``(asset, day, ret)``: the change against the row before; none where either level is unknown."""
-    before = F.lag("level").over(BY_DAY)
+    before = F.lag("level").over(_by_day())
     return usable(levels).select("asset", "day", (F.try_divide(F.col("level"), before) - 1).alias("ret")).where("ret IS NOT NULL")
 
 
@@ -48,7 +51,7 @@ def weekly_returns(levels: DataFrame) -> DataFrame:
 def level_warnings(levels: DataFrame) -> DataFrame:
     """``(asset, nonpositive, extreme_returns, long_gaps, quality)``: audit counts per series; nothing is dropped for them."""
     known = F.when(F.col("level") > 0, F.col("level"))
-    rows = levels.select("asset", "level", F.abs(F.try_divide(known, F.lag(known).over(BY_DAY)) - 1).alias("move"), F.date_diff("day", F.lag("day").over(BY_DAY)).alias("gap"))
+    rows = levels.select("asset", "level", F.abs(F.try_divide(known, F.lag(known).over(_by_day())) - 1).alias("move"), F.date_diff("day", F.lag("day").over(_by_day())).alias("gap"))
     counts = rows.groupBy("asset").agg(F.count_if(F.col("level") <= 0).alias("nonpositive"), F.count_if(F.col("move") > EXTREME_RETURN).alias("extreme_returns"), F.count_if(F.col("gap") > LONG_GAP_DAYS).alias("long_gaps"))
     return counts.withColumn("quality", F.when(F.col("nonpositive") + F.col("extreme_returns") + F.col("long_gaps") > 0, "PASS_WITH_WARNINGS").otherwise("PASS"))
 

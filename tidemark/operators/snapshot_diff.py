@@ -37,7 +37,7 @@ def ordinals(keys: DataFrame, key: str, existing: DataFrame | None = None, bucke
 
 def _bits_below(word: Column, bit: Column) -> Column:
     """How many set bits of a word come before ``bit``: the rank, which is the index into the aligned vector."""
-    return F.bit_count(word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit) - F.lit(1).cast("long")))
+    return F.bit_count(word.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), bit))))
 
 
 def snapshot_changes(

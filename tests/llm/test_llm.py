@@ -162,6 +162,7 @@ def test_claims_are_found_in_damaged_texts():
     assert claims_of(plain.replace("\n", "\r\n")) == claims_of(plain)
     assert claims_of(plain.replace("comprising", "com-\nprising").replace("What is", "What-\n is")) == claims_of(plain)
     assert len(claims_of("水泵\n\n权利要求书\n\n1. 一种水泵。\n\n2. 根据权利要求1所述的水泵。")) == 2
+    assert len(claims_of("Pompe\n\nRevendications\n\n1. Pompe avec valve.\n\n2. Pompe selon la revendication 1.\n\n3. Pompe selon l'une des revendications 1 à 2.\n\n4. Pompe.")) == 4
     assert claims_of("[0001] Text.\n\n1. Vorrichtung mit Ventil.\n\n2. Verfahren.") == ["Vorrichtung mit Ventil.", "Verfahren."]
 
 

@@ -96,6 +96,16 @@ def test_every_document_has_ids(spark):
     assert tokenizer.token_ids(df.limit(0)).count() == 0
 
 
+def test_slices_bound_the_bytes_and_keep_the_rows():
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (5, 0, 30, 7, 7, 7)] + [None, "é"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["i", "t"])
+    parts = list(tokenizer.text_slices(iter([batch, batch.slice(0, 0)]), most_bytes=14))
+    assert [v for p in parts for v in p.column(1).to_pylist()] == texts
+    assert [p.num_rows for p in parts] == [2, 1, 2, 3]
+
+
 # --- packing ---
 
 @pytest.mark.parametrize("capacities", [[512], [512, 2048, 8192]])

@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -119,10 +120,8 @@ class PieceEncoder:
         places, counts = self._places(texts)
         sizes = self.sizes[places]
         starts = self.starts[places]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        flat = _gather(self.ids, starts, sizes)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
         return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
 
 
@@ -141,31 +140,56 @@ def byte_table() -> dict[str, int]:
     return table
 
 
+def _gather(table: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches ``table[start : start + size]`` one after another."""
+    ends = np.cumsum(sizes)
+    return table[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class ByteDecoder:
     """Decoding by the reversed byte table, and the characters that each token covers."""
 
     def __init__(self, definition: str):
         table = byte_table()
         vocabulary = load_tokenizer(definition).get_vocab(with_added_tokens=True)
-        self.bytes_of = {i: bytes(table[c] for c in t) if all(c in table for c in t) else t.encode() for t, i in vocabulary.items()}
+        raw = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            raw[i] = bytes(table[c] for c in token) if all(c in table for c in token) else token.encode()
+        self.sizes = np.array([len(r) for r in raw], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.table = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        leads = np.concatenate([[0], np.cumsum(self.table & 0xC0 != 0x80)])
+        self.begun = leads[self.starts + self.sizes] - leads[self.starts]  # characters that begin in a token
+        self.leads = np.array([bool(r) and r[0] & 0xC0 != 0x80 for r in raw])
+
+    def raw(self, ids: np.ndarray) -> bytes:
+        """The bytes of a row of tokens. Only they are joined, so a character split over tokens comes together."""
+        return _gather(self.table, self.starts[ids], self.sizes[ids]).tobytes()
 
     def text(self, ids: list[int]) -> str:
-        """Characters split over several tokens come together, as the bytes are joined before they are read as UTF-8."""
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
+        return self.raw(np.asarray(ids, dtype=np.int64)).decode("utf-8", errors="replace")
+
+    def spans(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end character positions of each token. A character split over tokens belongs to each of them."""
+        ends = np.cumsum(self.begun[ids])
+        before = ends - self.begun[ids]
+        return np.where(self.leads[ids], before, np.maximum(before - 1, 0)), ends
 
     def offsets(self, ids: list[int]) -> list[tuple[int, int]]:
-        """``(first, end)`` character positions of each token.
+        first, end = self.spans(np.asarray(ids, dtype=np.int64))
+        return list(zip(first.tolist(), end.tolist()))
+
 
-        A character whose bytes are split over tokens belongs to each of them.
-        """
-        spans, seen = [], 0
-        for i in ids:
-            raw = self.bytes_of[i]
-            begins = sum(1 for b in raw if b & 0xC0 != 0x80)
-            first = seen if raw and raw[0] & 0xC0 != 0x80 else max(seen - 1, 0)
-            seen += begins
-            spans.append((first, seen))
-        return spans
+def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of about ``most_bytes`` of text, so that long texts do not add up in a worker."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = int(sizes[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(sizes, before + most_bytes, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def _definition(df: DataFrame, tokenizer_file: str):
@@ -182,10 +206,8 @@ def token_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder(definition.value)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), encoder.encode(part.column(1).to_pylist())], names=[id_col, "ids"])
+        for part in text_slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), encoder.encode(part.column(1).to_pylist())], names=[id_col, "ids"])
 
     return df.select(id_col, text_col).mapInArrow(encode, f"`{id_col}` {kind}, ids array<int>")
 
@@ -196,11 +218,9 @@ def token_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder(definition.value)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                sizes = pa.array(encoder.sizes_of(part.column(1).to_pylist()), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), sizes], names=[id_col, "n_tokens"])
+        for part in text_slices(batches):
+            sizes = pa.array(encoder.sizes_of(part.column(1).to_pylist()), pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), sizes], names=[id_col, "n_tokens"])
 
     return df.select(id_col, text_col).mapInArrow(measure, f"`{id_col}` {kind}, n_tokens long")
 
@@ -214,17 +234,18 @@ def round_trips(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = PieceEncoder(definition.value), ByteDecoder(definition.value)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                exact = []
-                for text, ids in zip(texts, encoder.encode(texts).to_pylist()):
-                    spans = decoder.offsets(ids)
-                    whole = all(a[1] >= b[0] for a, b in zip(spans, spans[1:])) and (not spans or (spans[0][0], spans[-1][1]) == (0, len(text)))
-                    exact.append(whole and decoder.text(ids) == text)
-                sizes = pa.array([len(t.encode()) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(exact, pa.bool_())], names=[id_col, "n_bytes", "exact"])
+        for part in text_slices(batches):
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            plain = [t.encode() for t in texts]
+            lists = encoder.encode(texts)
+            flat, bounds, exact = lists.values.to_numpy().astype(np.int64), lists.offsets.to_numpy(), []
+            for text, wanted, low, high in zip(texts, plain, bounds, bounds[1:]):
+                ids = flat[low:high]
+                first, end = decoder.spans(ids)
+                covers = len(text) == 0 if not len(ids) else first[0] == 0 and end[-1] == len(text) and bool((end[:-1] >= first[1:]).all())
+                exact.append(bool(covers) and decoder.raw(ids) == wanted)
+            sizes = pa.array([len(p) for p in plain], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(exact, pa.bool_())], names=[id_col, "n_bytes", "exact"])
 
     return df.select(id_col, text_col).mapInArrow(verify, f"`{id_col}` {kind}, n_bytes long, exact boolean")
 

@@ -8,8 +8,13 @@ An observation may be used by an event when it was available and ingested in tim
 event's day; of those the latest by (effective from with null first, available, ingested, sequence) holds.
 Histories and events of an entity are merged in time order in one pass. The state of the pass is, for each
 attribute, the best observation so far of every event day, so its size follows the calendar and not the rows;
-nothing but matches leaves the pass. Entities with many events are split into pieces, each of which passes
-over the entity's history on its own.
+nothing but matches leaves the pass.
+
+Entities with many events are split into consecutive time slices. A slice passes over its own part of the
+history only and begins from the state that the earlier slices leave, which is carried over as one row per
+day. So an entity with a third of all events and observations is neither read by one task nor copied to many:
+its history is read twice, once for the states and once for the matches. Only events with two different
+bounds, for which no state is small, are split by hash and meet the whole history of their entity in blocks.
 """
 
 from __future__ import annotations
@@ -19,9 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 EVENTS_A_PIECE = 100_000
 TWO_BOUND_EVENTS_A_PIECE = 2_000
 LONGEST_CALENDAR = 100_000  # days between the first and the last event
@@ -111,42 +118,48 @@ def attributes_as_of(
         days = np.arange(first, last + 1)
     else:  # stray dates: only the days that occur, whose number the calendar bounds
         days = np.array(sorted(r[0] for r in asked.select("_day").distinct().collect()), dtype=np.int64)
-    split = pieces.where("_pieces > 1").select("_entity", "_lane", "_pieces")
-    if (most or 1) > 1:
-        hot = split.limit(HOT_ENTITIES + 1).collect()
-        if len(hot) <= HOT_ENTITIES:
-            split = F.broadcast(spark.createDataFrame(hot, split.schema))
-
-    def spread(df: DataFrame) -> DataFrame:
-        if (most or 1) == 1:
-            return df.withColumn("_pieces", F.lit(1))
-        return df.join(split, ["_entity", "_lane"], "left").withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
+    # Only entities that are split: at most one per ``events_a_piece`` events. Beyond HOT_ENTITIES they are joined by a shuffle.
+    split, hot = pieces.where("_pieces > 1").select("_entity", "_lane", "_pieces"), (most or 1) > 1
+    if hot:
+        rows = split.limit(HOT_ENTITIES + 1).collect()
+        few = len(rows) <= HOT_ENTITIES
+        split = _with_cuts(asked, F.broadcast(spark.createDataFrame(rows, split.schema)) if few else split, most)
+        split = F.broadcast(cut_lineage(split)) if few else cut_lineage(split)
+    by_hash = F.col("_lane") == BY_TWO_BOUNDS
+
+    def placed(df: DataFrame, order: str) -> DataFrame:
+        """Adds the number of the entity's pieces, and the time slice that ``order`` falls into."""
+        if not hot:
+            return df.withColumn("_pieces", F.lit(1)).withColumn("_piece", F.lit(0))
+        joined = df.join(split, ["_entity", "_lane"], "left").withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
+        return joined.withColumn("_piece", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(order))), F.lit(0))).drop("_cuts")
 
     key_type = asked.schema["_key"].dataType.simpleString()
-    asked = spread(asked).select(
-        "_entity", "_lane", F.pmod(F.xxhash64("_key"), F.col("_pieces")).cast("int").alias("_piece"),
-        F.when(F.col("_lane") == BY_TWO_BOUNDS, F.lit(NO_DATE).cast("long")).otherwise(F.col("_t")).alias("_order"),
-        F.lit(1).alias("_kind"), F.col("_day").alias("_a"), F.col("_t").alias("_b"), F.col("_u").alias("_c"),
-        F.lit(None).cast("long").alias("_seq"), F.lit(None).cast("int").alias("_attr"), F.lit(None).cast("string").alias("_value"), "_key",
+    no = lambda kind: F.lit(None).cast(kind)
+    asked = placed(asked.withColumn("_order", F.when(by_hash, F.lit(NO_DATE).cast("long")).otherwise(F.col("_t"))), "_order").select(
+        "_entity", "_lane", F.when(by_hash, F.pmod(F.xxhash64("_key"), F.col("_pieces")).cast("int")).otherwise(F.col("_piece")).alias("_piece"), "_order", F.lit(1).alias("_kind"),
+        F.col("_day").alias("_low"), no("long").alias("_high"), no("long").alias("_a"), F.col("_t").alias("_b"), F.col("_u").alias("_c"), no("long").alias("_seq"), no("int").alias("_attr"), no("string").alias("_value"), "_key",
     )
+    order = F.when(F.col("_lane") == BY_BOTH, F.greatest("_av", "_in")).otherwise(F.col("_av"))
     history = (
         observations.select(
-            F.col(entity).cast("string").alias("_entity"), available.alias("_av"), ingested.alias("_in"),
-            F.coalesce(_day_number(effective_from), F.lit(NO_DATE)).alias("_from"), F.coalesce(_day_number(effective_to), F.lit(-NO_DATE)).alias("_to"),
-            sequence.cast("long").alias("_seq"),
+            F.col(entity).cast("string").alias("_entity"), available.alias("_av"), ingested.alias("_in"), _day_number(effective_from).alias("_from"), _day_number(effective_to).alias("_to"), sequence.cast("long").alias("_seq"),
             F.explode(F.array(*[F.struct(F.lit(i).alias("attr"), c.cast("string").alias("value")) for i, c in enumerate(attributes.values())])).alias("_x"),
         )
         .where("_entity IS NOT NULL AND _av IS NOT NULL AND _in IS NOT NULL AND _x.value IS NOT NULL")
         .withColumn("_lane", F.explode(F.array(F.lit(BY_AVAILABILITY), F.lit(BY_BOTH), F.lit(BY_TWO_BOUNDS))))
+        .withColumn("_order", F.unix_micros(order))
     )
-    order = F.when(F.col("_lane") == BY_BOTH, F.greatest("_av", "_in")).otherwise(F.col("_av"))
-    history = spread(history).withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).select(
-        "_entity", "_lane", "_piece", F.unix_micros(order).alias("_order"), F.lit(0).alias("_kind"),
-        F.col("_from").alias("_a"), F.unix_micros(F.col("_av")).alias("_b"), F.unix_micros(F.col("_in")).alias("_c"), "_seq",
-        F.col("_x.attr").alias("_attr"), F.col("_x.value").alias("_value"), F.lit(None).cast(key_type).alias("_key"), "_to",
+    history = placed(history, "_order").select(
+        "_entity", "_lane", "_piece", "_order", F.lit(0).alias("_kind"), F.coalesce("_from", F.lit(NO_DATE)).alias("_low"), F.coalesce("_to", F.lit(-NO_DATE)).alias("_high"),
+        F.coalesce("_from", F.lit(NO_DATE)).alias("_a"), F.unix_micros("_av").alias("_b"), F.unix_micros("_in").alias("_c"), F.coalesce("_seq", F.lit(0)).alias("_seq"), F.col("_x.attr").alias("_attr"), F.col("_x.value").alias("_value"), no(key_type).alias("_key"), "_pieces",
     )
-    stream = history.unionByName(asked.withColumn("_to", F.lit(None).cast("long")))
-    stream = stream.repartition("_entity", "_lane", "_piece").sortWithinPartitions("_entity", "_lane", "_piece", "_order", "_kind")
+    if hot:
+        carried = _carried(history.where((F.col("_pieces") > 1) & ~by_hash).drop("_key"), days, len(names))
+        every_piece = F.explode(F.when(by_hash, F.sequence(F.lit(0), F.col("_pieces") - 1)).otherwise(F.array("_piece")))
+        history = history.withColumn("_piece", every_piece).unionByName(carried.withColumn("_key", no(key_type)).withColumn("_pieces", F.lit(0)))
+    history = history.drop("_pieces")
+    stream = history.unionByName(asked).repartition(*GROUP).sortWithinPartitions(*GROUP, "_order", "_kind")
     shape = ", ".join([f"`_key` {key_type}", *(f"`{n}` string" for n in names)])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +172,45 @@ def attributes_as_of(
     return matched.select("_key.*", *names)
 
 
+GROUP = ["_entity", "_lane", "_piece"]
+STATE = ["_a", "_b", "_c", "_seq", "_value"]
+
+
+def _with_cuts(asked: DataFrame, split: DataFrame, most: int) -> DataFrame:
+    """``(entity, lane, pieces, cuts)``: the instants at which the time slices of each split entity begin after the first."""
+    fine = min(most, 10_000)
+    quantiles = F.percentile_approx("_t", F.array(*[F.lit(i / fine) for i in range(1, fine)]), 10 * fine) if fine > 1 else F.array()
+    cut = asked.join(split, ["_entity", "_lane"]).groupBy("_entity", "_lane", "_pieces").agg(quantiles.alias("_q"))
+    own = F.least(F.col("_pieces"), F.lit(fine))
+    chosen = F.transform(F.sequence(F.lit(1), own - 1), lambda i: F.get("_q", F.ceil(i * fine / own).cast("int") - 1))
+    return cut.select("_entity", "_lane", "_pieces", F.when(F.col("_lane") != BY_TWO_BOUNDS, F.array_distinct(chosen)).alias("_cuts"))
+
+
+def _carried(history: DataFrame, days: np.ndarray, width: int) -> DataFrame:
+    """What each time slice inherits: for every attribute and day the best observation of the earlier slices.
+
+    A slice's own state has at most one row per attribute and day; later slices that leave a day as it was are filled in.
+    """
+    shape = "_entity string, _lane int, _piece int, _pieces int, _attr int, _low long, _a long, _b long, _c long, _seq long, _value string"
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merge = _SliceStates(days, [""] * width)
+        for batch in batches:
+            yield from merge.take(batch)
+        yield from merge.finish()
+
+    own = history.repartition(*GROUP).sortWithinPartitions(*GROUP, "_order", "_kind").mapInArrow(states, shape)
+    own = cut_lineage(own.withColumn("_state", F.struct(*STATE)).drop(*STATE))
+    place = ["_entity", "_lane", "_attr", "_low"]
+    later = own.groupBy(*place, "_pieces").agg(F.min("_piece").alias("_first")).where("_first + 1 < _pieces")
+    filled = later.select(*place, F.explode(F.sequence(F.col("_first") + 1, F.col("_pieces") - 1)).alias("_piece"))
+    both = own.select(*place, "_piece", "_state").unionByName(filled.withColumn("_state", F.lit(None).cast(own.schema["_state"].dataType)))
+    each = both.groupBy(*place, "_piece").agg(F.max("_state").alias("_state"))
+    before = Window.partitionBy(*place).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = each.withColumn("_state", F.max("_state").over(before)).where("_state IS NOT NULL")
+    return carried.select("_entity", "_lane", "_piece", F.lit(NO_DATE).cast("long").alias("_order"), F.lit(0).alias("_kind"), "_low", (F.col("_low") + 1).alias("_high"), "_attr", "_state.*")
+
+
 class _Merge:
     """The pass over the sorted stream of one partition."""
 
@@ -181,9 +233,9 @@ class _Merge:
         codes = pc.dictionary_encode(col["_entity"]).indices.to_numpy(zero_copy_only=False)
         lane, piece = (col[c].to_numpy(zero_copy_only=False) for c in ("_lane", "_piece"))
         turns = np.flatnonzero((codes[1:] != codes[:-1]) | (lane[1:] != lane[:-1]) | (piece[1:] != piece[:-1])) + 1
-        num = {c: col[c].fill_null(0).to_numpy(zero_copy_only=False) for c in ("_kind", "_a", "_b", "_c", "_seq", "_attr", "_to")}
-        low = np.searchsorted(self.days, num["_a"], side="left")
-        high = np.searchsorted(self.days, num["_to"], side="left")
+        num = {c: col[c].fill_null(0).to_numpy(zero_copy_only=False) for c in ("_kind", "_low", "_high", "_a", "_b", "_c", "_seq", "_attr")}
+        low = np.searchsorted(self.days, num["_low"], side="left")
+        high = np.searchsorted(self.days, num["_high"], side="left")
         for start, end in zip([0, *turns], [*turns, n]):
             group = (col["_entity"][start].as_py(), int(lane[start]), int(piece[start]))
             if group != self.group:
@@ -277,3 +329,24 @@ class _Merge:
         found = [np.array([i if v is not None else -1 for i, v in enumerate(values)], dtype=np.int64) for _, values in self.best]
         yield from self._out(keys, found, [values for _, values in self.best])
         self.best, self.questions = [], []
+
+
+class _SliceStates(_Merge):
+    """The pass over observations alone, which emits the state that each slice leaves."""
+
+    def take(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if batch.num_rows:
+            self.of = dict(zip(zip(*(batch.column(c).to_pylist() for c in GROUP)), batch.column("_pieces").to_pylist())) | ({self.group: self.of[self.group]} if self.group else {})
+        yield from super().take(batch)
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        if self.group is None:
+            return
+        self._apply()
+        for i, best in enumerate(self.best):
+            on = np.flatnonzero(best.at >= 0)
+            if len(on):
+                fixed = [pa.array([v] * len(on), kind) for v, kind in zip((*self.group, self.of[self.group], i), (pa.string(), *[pa.int32()] * 4))]
+                ranks = [pa.array(r[on], pa.int64()) for r in best.rank]
+                values = pa.array([best.values[k] for k in best.at[on]], pa.string())
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(self.days[on], pa.int64()), *ranks, values], names=["_entity", "_lane", "_piece", "_pieces", "_attr", "_low", "_a", "_b", "_c", "_seq", "_value"])

@@ -22,7 +22,7 @@ def ordered(returns: DataFrame, order: DataFrame | None = None) -> DataFrame:
     """Adds ``ord``: the asset's place in a registry ``(asset, ord)``, by name without one."""
     if order is None:
         order = returns.select("asset").distinct().withColumn("ord", F.row_number().over(Window.orderBy("asset")))  # one row per asset
-    return returns.join(F.broadcast(order.select("asset", "ord")), "asset")
+    return returns.join(order.select("asset", "ord"), "asset")
 
 
 def pairs(returns: DataFrame, order: DataFrame | None = None) -> DataFrame:
@@ -112,7 +112,7 @@ def rolling_statistics(returns: DataFrame, asked: DataFrame, windows: list[int],
     Status is UNAVAILABLE if an asset has no returns, SKIPPED_SHORT_HISTORY without a full window, else OK.
     """
     have = returns.select("asset").distinct()
-    known = asked.join(F.broadcast(have.select(F.col("asset").alias("asset_1"), F.lit(True).alias("h1"))), "asset_1", "left").join(F.broadcast(have.select(F.col("asset").alias("asset_2"), F.lit(True).alias("h2"))), "asset_2", "left")
+    known = asked.join(have.select(F.col("asset").alias("asset_1"), F.lit(True).alias("h1")), "asset_1", "left").join(have.select(F.col("asset").alias("asset_2"), F.lit(True).alias("h2")), "asset_2", "left")
     every = known.crossJoin(asked.sparkSession.createDataFrame([(w,) for w in windows], "window int"))  # a literal list of windows
     parts = None
     for w in windows:

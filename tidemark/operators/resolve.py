@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.normalize import freshness
 from tidemark.operators.observations import METADATA_ORDER
+from tidemark.session import bounded_broadcast
 
 REQUIRE_AGREEMENT, PRECEDENCE = "REQUIRE_AGREEMENT", "PRECEDENCE_WITH_AUDIT"
 
@@ -43,11 +44,13 @@ def resolve(latest: DataFrame, policy: DataFrame, key: list[str], *, as_of: Colu
     not candidates. Every field of the policy has a row for every key, UNKNOWN without a candidate. AMBIGUOUS marks a source
     whose latest rows disagree, which no winner can be drawn from.
     """
-    judged = latest.join(F.broadcast(policy), ["field_name", "source"]).withColumn("freshness", freshness(as_of, F.col("seen_at"), F.col("max_age_seconds")))
+    policy = bounded_broadcast(policy)
+    judged = latest.join(policy, ["field_name", "source"]).withColumn("freshness", freshness(as_of, F.col("seen_at"), F.col("max_age_seconds")))
     candidate = F.struct("precedence_rank", "source", "value", "freshness", "provider_payload_hash", "ambiguous")
     groups = judged.groupBy(*key, "field_name").agg(F.array_sort(F.collect_list(candidate)).alias("candidates"))  # at most one per source of the policy
     fields = policy.groupBy("field_name").agg(F.max("conflict_policy").alias("conflict_policy"))
-    asked = latest.select(*key).distinct().crossJoin(F.broadcast(fields))  # every key once per field of the fixed policy
+    names = F.array(*[F.struct(F.lit(r.field_name).alias("field_name"), F.lit(r.conflict_policy).alias("conflict_policy")) for r in fields.orderBy("field_name").collect()])  # the policy's fields
+    asked = latest.select(*key).distinct().select(*key, F.explode(names).alias("_f")).select(*key, "_f.*")
     joined = asked.join(groups, [*key, "field_name"], "left")
     fresh = F.filter("candidates", lambda c: c["freshness"] != "EXPIRED")
     agree = F.col("conflict_policy") == REQUIRE_AGREEMENT
@@ -74,7 +77,7 @@ def resolve(latest: DataFrame, policy: DataFrame, key: list[str], *, as_of: Colu
 
 def unknown_sources(rows: DataFrame, policy: DataFrame) -> DataFrame:
     """Sources in the rows that the policy does not order; resolution must not pass them over in silence."""
-    return rows.select("source").distinct().join(F.broadcast(policy.select("source").distinct()), "source", "left_anti")
+    return rows.select("source").distinct().join(bounded_broadcast(policy.select("source").distinct()), "source", "left_anti")
 
 
 def as_json(resolved: DataFrame, key: list[str]) -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import bounded_broadcast
+
 WORD = 64
 
 
@@ -55,14 +57,14 @@ def snapshot_changes(
         .groupBy(F.col(key).alias("_key"), F.col(snapshot).alias("_snapshot"))
         .agg(F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(latest_by)], held.alias("held")))["held"].alias("held"))
     )
-    # One row per delivery: bounded by the calendar, not by the data.
+    # One row per delivery. Deliveries by day are bounded by the calendar; finer ones are broadcast only if they are few.
     deliveries = rows.select(F.col(snapshot).alias("_snapshot")).where("_snapshot IS NOT NULL").distinct()
-    deliveries = deliveries.withColumn("_no", F.row_number().over(Window.orderBy("_snapshot")))
+    deliveries = bounded_broadcast(deliveries.withColumn("_no", F.row_number().over(Window.orderBy("_snapshot"))))
     numbers = ordinals(state, "_key") if dictionary is None else dictionary.select(F.col(key).alias("_key"), "ordinal")
 
     words = (
         state.join(numbers, "_key")
-        .join(F.broadcast(deliveries), "_snapshot")
+        .join(deliveries, "_snapshot")
         .groupBy("_no", F.expr(f"ordinal div {WORD}").alias("_word"))
         .agg(
             F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.expr(f"cast(ordinal % {WORD} AS int)"))).alias("bits"),
@@ -99,7 +101,7 @@ def snapshot_changes(
     )
     found = opened.select((F.col("_word") * WORD + bit).alias("ordinal"), "_no", kind.alias("change_kind")).where("change_kind IS NOT NULL")
     return (
-        found.join(F.broadcast(deliveries), "_no")
+        found.join(deliveries, "_no")
         .join(numbers, "ordinal")
         .select(F.col("_key").alias(key), F.col("_snapshot").alias(snapshot), "change_kind")
     )

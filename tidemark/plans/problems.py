@@ -279,6 +279,26 @@ found AS ({_p4_pairs(BAR_FIELDS, 'bars')} UNION ALL {_p4_pairs(RESULT_FIELDS, 'r
 SELECT dataset, symbol, strftime(trade_date, '%Y-%m-%d') AS trade_date, field_name, difference FROM found JOIN funds USING (fund)
 """
 
+# Neither copy of the results repeats a key with different values, so the least-cost pairing of a key's left-over rows is any pairing.
+_P4_COPIES = f"""
+WITH {_FUNDS},
+results AS (
+  SELECT {sql_token('copy_name')} AS copy, {sql_digits('symbol')} AS fund, trade_date,
+    {', '.join(f'CASE WHEN NOT isnan({f}) THEN round({f}, 8) + 0.0 END AS {f}' for f in RESULT_FIELDS)} FROM reconciliation_results
+  WHERE {sql_digits('symbol')} IS NOT NULL
+),
+desk AS (SELECT * EXCLUDE (copy) FROM results WHERE copy = 'desk'),
+archive AS (SELECT * EXCLUDE (copy) FROM results WHERE copy = 'archive'),
+l AS (SELECT *, count(*) AS n FROM (SELECT * FROM desk EXCEPT ALL SELECT * FROM archive) GROUP BY ALL),
+r AS (SELECT *, count(*) AS n FROM (SELECT * FROM archive EXCEPT ALL SELECT * FROM desk) GROUP BY ALL),
+paired AS (SELECT coalesce(l.fund, r.fund) AS fund, coalesce(l.trade_date, r.trade_date) AS trade_date, coalesce(l.n, 0) AS nl, coalesce(r.n, 0) AS nr, {', '.join(f'l.{f} IS DISTINCT FROM r.{f} AS d{i}' for i, f in enumerate(RESULT_FIELDS))} FROM l FULL JOIN r ON l.fund = r.fund AND l.trade_date = r.trade_date),
+found AS (
+  SELECT fund, trade_date, 'row' AS field_name, CASE WHEN nl > nr THEN 'only_left' ELSE 'only_right' END AS difference, unnest(range(abs(nl - nr))) AS k FROM paired
+  {' '.join(f"UNION ALL SELECT fund, trade_date, '{f}', 'value', unnest(range(least(nl, nr))) FROM paired WHERE d{i}" for i, f in enumerate(RESULT_FIELDS))}
+)
+SELECT symbol, strftime(trade_date, '%Y-%m-%d') AS trade_date, field_name, difference FROM found JOIN funds USING (fund)
+"""
+
 _P5_CHANGES = f"""
 {_FUNDS},
 rows AS (
@@ -342,6 +362,7 @@ SQL = {
     "p3_found": _p3_sql(["meta_seq"], {"meta_seq": "o.meta_seq"}),
     "p3_attributes": _p3_sql(list(EVENT_ATTRIBUTES), {"tracking_index": sql_digits("o.tracking_index"), "management_fee": "CAST(o.management_fee AS VARCHAR)", "fund_company": sql_known("o.fund_company")}),
     "p4_found": _P4,
+    "p4_result_copies": _P4_COPIES,
     "p5_found": _P5,
     "p5_four_weeks": _P5_FOUR,
     "p6_found": f"WITH {_P6_PERIODS} SELECT {_P6_COLUMNS} FROM periods JOIN funds USING (fund)",

@@ -453,6 +453,13 @@ marked AS (SELECT *, CASE WHEN n = 0 THEN 'UNKNOWN' WHEN ambiguous THEN 'AMBIGUO
 won AS (SELECT *, CASE WHEN status = 'RESOLVED' THEN first_fresh WHEN status = 'STALE' AND NOT (agree AND n_values > 1) THEN first_any END AS w FROM marked)
 SELECT symbol, field_name, status, w.value AS value, w.source AS source, CASE WHEN status = 'STALE' THEN 'EXPIRED' ELSE w.freshness END AS freshness FROM won JOIN funds USING (fund)"""
 
+_REASON = """CASE WHEN status = 'UNKNOWN' THEN 'no known value from any source' WHEN status = 'CONFLICT' THEN 'fresh sources that must agree disagree'
+  WHEN status = 'STALE' AND w IS NULL THEN 'all candidates are stale and disagree' WHEN status = 'STALE' THEN 'all candidates are stale; the first source''s value is kept'
+  WHEN status = 'AMBIGUOUS' THEN 'a source''s latest rows disagree' WHEN w.precedence_rank = 1 THEN 'first source' ELSE 'fallback to a later source' END
+  || CASE WHEN status = 'RESOLVED' AND n_values > 1 THEN '; other sources disagree' ELSE '' END"""
+_RESOLVED_JSON = _RESOLVED[: _RESOLVED.rindex("SELECT symbol")] + f"""SELECT symbol, CAST(to_json(list(struct_pack(field_name := field_name, status := status, value := w.value, source := w.source, freshness := CASE WHEN status = 'STALE' THEN 'EXPIRED' ELSE w.freshness END, reason := {_REASON}) ORDER BY field_name)) AS VARCHAR) AS fields
+FROM won JOIN funds USING (fund) GROUP BY symbol"""
+
 _OVERLAPS = f"""
 WITH {_META}, reached AS (
   SELECT source, effective_from, max(coalesce(effective_to, DATE '9999-12-31')) OVER (PARTITION BY fund, source ORDER BY effective_from, meta_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM meta WHERE effective_from IS NOT NULL
@@ -517,6 +524,7 @@ SELECT symbol, first_day, last_day, n_days FROM (SELECT fund, run, {_ISO('min(tr
 SELECT src AS source, CAST(sum(n) AS BIGINT) AS submitted, min(all_first) AS submitted_first, count(*) AS stored, min(first) AS stored_first FROM s GROUP BY src""",
     "metadata_sources": f"WITH {_META} SELECT f.symbol, count(DISTINCT source) AS n_sources FROM meta JOIN funds f USING (fund) GROUP BY f.symbol HAVING count(DISTINCT source) > 1",
     "metadata_resolved": _RESOLVED,
+    "metadata_resolved_json": _RESOLVED_JSON,
     "unknown_sources": f"SELECT DISTINCT {sql_token('source')} AS source FROM field_candidates WHERE {sql_token('source')} NOT IN (SELECT {sql_token('source')} FROM resolution_policy)",
     "metadata_overlaps": _OVERLAPS,
     "instruments_normalized": f"SELECT CASE WHEN regexp_full_match(upper(trim(symbol, {_BLANKS})), '[0-9]{{6}}\\.(SH|SZ)') THEN upper(trim(symbol, {_BLANKS})) END AS symbol, coalesce(nullif(CASE regexp_extract(upper(symbol), '(XSHG|XSHE|SHE|SH|SZ|SS)', 1) WHEN 'SH' THEN 'SH' WHEN 'SS' THEN 'SH' WHEN 'XSHG' THEN 'SH' WHEN 'SZ' THEN 'SZ' WHEN 'XSHE' THEN 'SZ' WHEN 'SHE' THEN 'SZ' END, ''), 'UNKNOWN') AS exchange, CASE WHEN lower(coalesce(instrument_type, '')) LIKE '%index%' THEN 'INDEX' WHEN substr(symbol, 1, 2) IN ('15', '16', '50', '51', '52', '56', '58') THEN 'ETF' ELSE 'STOCK' END AS kind, coalesce({sql_known('name')}, {sql_known('symbol')}) AS name FROM instruments",

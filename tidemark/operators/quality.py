@@ -55,3 +55,18 @@ def coverage_counts(df: DataFrame, group: str, label: str, flags: dict[str, Colu
 
 def any_violation(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+def web_address(c: str) -> Column:
+    """Whether a text is an HTTP(S) address with a host; null is not."""
+    return F.coalesce(F.col(c).rlike(r"^https?://[^/\s?#]+"), F.lit(False))
+
+
+def foreign_members(c: str, allowed: list[str]) -> Column:
+    """The members of an array that are not allowed."""
+    return F.array_except(c, F.array(*[F.lit(a) for a in allowed]))
+
+
+def repeated_members(c: str) -> Column:
+    """Whether an array has a member twice."""
+    return F.size(F.array_distinct(c)) < F.size(c)

@@ -114,3 +114,15 @@ def read_raw_cache(spark: SparkSession, path: str, start: date | None = None, en
     rows = spark.read.schema(RAW_BAR_SCHEMA).option("recursiveFileLookup", True).json(path)
     day = F.to_date("provider_timestamp")
     return rows.where((F.lit(start).isNull() | (day >= F.lit(start))) & (F.lit(end).isNull() | (day <= F.lit(end)))).orderBy("symbol", "provider_timestamp", "retrieved_at")
+
+
+def capability(call: Callable[[], Any], has_credentials: bool = True) -> str:
+    """The outcome of trying a provider's call: PASS, FAIL, NO_PERMISSION or NO_CREDENTIAL."""
+    if not has_credentials:
+        return "NO_CREDENTIAL"
+    try:
+        return "PASS" if call() else "FAIL"
+    except PermissionError:
+        return "NO_PERMISSION"
+    except ProviderError:
+        return "FAIL"

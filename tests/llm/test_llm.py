@@ -176,6 +176,16 @@ def test_claims_are_found_in_damaged_texts():
     assert claims_of("[0001] Text.\n\n1. Vorrichtung mit Ventil.\n\n2. Verfahren.") == ["Vorrichtung mit Ventil.", "Verfahren."]
 
 
+def test_claims_before_the_heading_are_kept():
+    first, second = "1. A seed drill, comprising a grain tank.", "2. The seed drill of claim 1, wherein the tank is made of steel."
+    text = f"Seed drill\n\nIt sows; see example\n7. The tank is then filled.\n\n{second}\n\nSummary\n\n{first}\n\nIt has been found to work.\n\nWhat is claimed is:\n\nIn one embodiment, a tyre is used.\n\n3. The seed drill of claim 2, wherein the tyre has a tread."
+    wanted = {"A seed drill, comprising a grain tank.", "The seed drill of claim 1, wherein the tank is made of steel.", "The seed drill of claim 2, wherein the tyre has a tread."}
+    assert set(claims_of(text)) == wanted
+    assert set(claims_of(text.replace("\n\n", "\n"))) == wanted
+    assert set(claims_of("1. 一种播种机，包括粮箱。\n\n本发明涉及轮胎。\n\n权利要求书\n\n2. 根据权利要求1所述的播种机。")) == {"一种播种机，包括粮箱。", "根据权利要求1所述的播种机。"}
+    assert claims_of("1. Field of the invention\n\nIt pumps.\n\nWhat is claimed is:\n\n1. A pump, comprising a valve.\n\n2. The pump of claim 1.") == ["A pump, comprising a valve.", "The pump of claim 1."]
+
+
 def corpus(seed=1, n=300):
     r = random.Random(seed)
     words = {"medicine": ["stent", "bone implant", "dosing the patient", "catheter tip"], "sport": ["racket string", "goal post", "striking the ball", "ski boot"], "energy": ["turbine blade", "fuel rod", "charging the battery", "solar panel"]}

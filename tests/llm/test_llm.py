@@ -186,6 +186,14 @@ def test_claims_before_the_heading_are_kept():
     assert claims_of("1. Field of the invention\n\nIt pumps.\n\nWhat is claimed is:\n\n1. A pump, comprising a valve.\n\n2. The pump of claim 1.") == ["A pump, comprising a valve.", "The pump of claim 1."]
 
 
+def test_claims_whose_number_is_not_first_are_kept():
+    lines = ["1. A car, comprising a wheel.", "The above-mentioned of 2. A method of steering, using the car as claimed in claim 1.", "method A 3. of braking, using the car as claimed in claim 1.", "4\n. The car of claim 1, comprising:\n\na hub; and\n\na rim.", "5.\nThe car of claim 4."]
+    wanted = ["A car, comprising a wheel.", "A method of steering, using the car as claimed in claim 1.", "method A of braking, using the car as claimed in claim 1.", "The car of claim 1, comprising:\n\na hub; and\n\na rim.", "The car of claim 4."]
+    assert claims_of("Car\n\nWhat is claimed is:\n\n" + "\n\n".join(lines) + "\n\nAs shown in FIG. 3, the hub turns.\n\nThe hub is old; see example 12. The rim is new.") == wanted
+    assert claims_of("Car 1. A car, comprising a wheel. It is then checked. Summary 2. The car of claim 1. What is claimed is: 3. The car of claim 2.") == ["A car, comprising a wheel.", "The car of claim 1.", "The car of claim 2."]
+    assert claims_of("Pompe\n\nRevendications\n\n1. Pompe avec valve.\n\nLadite 2. Pompe selon la revendication 1.") == ["Pompe avec valve.", "Pompe selon la revendication 1."]
+
+
 def corpus(seed=1, n=300):
     r = random.Random(seed)
     words = {"medicine": ["stent", "bone implant", "dosing the patient", "catheter tip"], "sport": ["racket string", "goal post", "striking the ball", "ski boot"], "energy": ["turbine blade", "fuel rod", "charging the battery", "solar panel"]}

@@ -17,12 +17,14 @@ _HYPHENATED = re.compile(r"- ?\n(?=\w)")
 _HEADING = re.compile(
     r"W(?i:hat ?is ?claimed ?is ?:?)|w(?i:hat ?is ?claimed ?is ?:?)|P(?i:atentanspr[^\s\d]{1,6})(?=\s+\d)|p(?i:atentanspr[^\s\d]{1,6})(?=\s+\d)|Revendications(?=\s+\d)|REVENDICATIONS(?=\s+\d)|权利要求书(?!\w)"
 )
-_NUMBER = re.compile(r"\d{1,3} ?[.．] (?=[\"'(]?[^\W\d_])")
+_NUMBER = re.compile(r"\d{1,3}\s?[.．]\s+(?=[\"'(]?[^\W\d_])")
 _INSIDE = re.compile(r"(?:[A-Za-z\d]|\d[.,])\Z")
 #: Before a claim's number: a line's start or a closing mark.
 _OPEN = re.compile(r"(?:\A|\n|[.。;；:：%书]) *\Z")
 #: Before a number that only refers to something.
 _REFERS = re.compile(r"(?i:\b(?:examples?|figs?\.?|figures?|tables?|claims?|nos?[.:]?|beispiel|abb\.?|tabelle|anspr[uü]che?n?|exemple|tableau)|revendications?|实施例|图|表|要求)\s*\Z")
+#: Before a displaced number: a short run of words from the line's start, as machine translation leaves it.
+_LED = re.compile(r"\n *((?:[^\W\d_]+[ '’-]+){1,8})\Z")
 _CLAIM_LIKE = re.compile(
     r"(?i:\bclaims?\s*\d|anspr[uü]che?n?\s*\d|revendications?\s*\d|\b(?:compris|includ|consist|umfass|comprenant|comportant|wherein|characteri[sz]ed|gekennzeichnet|caract[ée]ris))|权利要求\s*\d|包括|包含|其特征在于"
 )
@@ -49,8 +51,8 @@ def _ended(claim: str) -> str:
 def _numbered(text: str, headings: list[tuple[int, int]]) -> list[str]:
     """The numbered paragraphs of claims.
 
-    After the last heading, any number in a paragraph's place counts (anywhere, if there is no heading). Before it,
-    a number counts whose text reads like a claim, or that the numbers after it lack.
+    After the last heading, any number in a paragraph's place counts (anywhere, if there is no heading). Before it, or after
+    a run of words, a number counts whose text reads like a claim; before it also one that the numbers after it lack.
     """
     heading = headings[-1][1] if headings else 0
     stops, starts = [start for start, _ in headings], []
@@ -59,17 +61,17 @@ def _numbered(text: str, headings: list[tuple[int, int]]) -> list[str]:
         first = any(not text[end : m.start()].strip() for _, end in headings if end <= m.start() <= end + 9)
         if first or not _INSIDE.search(before) and not _REFERS.search(before):
             placed = first or bool(_OPEN.search(before))
-            if placed:
-                starts.append(m)
-    stops = sorted([*stops, *(m.start() for m in starts), len(text)])
+            led = None if placed else _LED.search(text[max(0, m.start() - 120) : m.start()] if m.start() > 120 else "\n" + text[: m.start()])
+            starts.append((m.start() - len(led[1]) if led else m.start(), m, led[1] if led else "", placed))
+    stops = sorted([*stops, *(at for at, *_ in starts), len(text)])
     claims = []
-    for m in starts:
+    for _, m, led, placed in starts:
         claim = _ended(text[m.end() : stops[bisect_left(stops, m.end())]])
-        sure = m.start() >= heading
-        claims.append((sure, int(re.match(r"\d+", m[0])[0]), claim))
-    known = {number for sure, number, _ in claims if sure}
+        sure = placed and m.start() >= heading
+        claims.append((sure, placed, int(re.match(r"\d+", m[0])[0]), led + claim if claim[:1].islower() else claim))
+    known = {number for sure, _, number, _ in claims if sure}
     lacking = set(range(1, max(known, default=0))) - known
-    return [claim for sure, number, claim in claims if claim and (sure or number in lacking or _CLAIM_LIKE.search(claim))]
+    return [claim for sure, placed, number, claim in claims if claim and (sure or placed and number in lacking or _CLAIM_LIKE.search(claim))]
 
 
 def claims_of(text: str | None) -> list[str]:

@@ -81,3 +81,21 @@ def test_large_groups_report_every_row(spark, limit):
     cancelled = len(set(left) & set(right))
     assert sum(1 for x in rows if x.l) == 12 - cancelled and sum(1 for x in rows if x.r) == 10 - cancelled
     assert sum(1 for x in rows if x.l and x.r) == 10 - cancelled
+
+
+def test_large_groups_are_paired_at_least_cost(spark):
+    left, right = [("k", 1, "2", 3.0), ("k", 1, "5", 4.0)], [("k", 1, "2", 4.0), ("k", 8, "2", 3.0)]
+    assert cost_of(pairs(spark, left, right, limit=0).collect()) == 2
+    r = random.Random(7)
+    sides = [[("abc"[i % 3], r.randint(0, 5), r.choice(["x", "y", None]), float(r.randint(0, 5))) for i in range(n)] for n in (90, 120)]
+    flow, assignment = (pairs(spark, *sides, limit=limit).collect() for limit in (0, 400))
+    for k in "abc":
+        assert cost_of([x for x in flow if x.k == k]) == cost_of([x for x in assignment if x.k == k])
+    assert sum(1 for x in flow if x.l and x.r) == sum(1 for x in assignment if x.l and x.r) and len(flow) == len(assignment)
+
+
+def test_a_row_repeated_beyond_the_limit_is_paired_at_least_cost(spark):
+    left = [("k", 1, "x", 1.0)] * 401 + [("k", 1, "5", 9.0)]
+    right = [("k", 1, "x", 2.0), ("k", 1, "5", 1.0)]
+    rows = pairs(spark, left, right).collect()
+    assert len(rows) == 402 and cost_of(rows) == 2 and sum(1 for x in rows if x.l and x.r) == 2

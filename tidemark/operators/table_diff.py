@@ -3,24 +3,22 @@
 1. Identical rows (key and all compared fields) are cancelled by multiplicity: one grouping of both copies with
    the counts +1 and -1, which combines on the map side, so a hot key or a row repeated a billion times is no problem.
 2. What is left over is paired within each key so that the number of differing fields is least. One left-over row a
-   side needs no search and is paired by a second map-side-combined grouping. Keys with more are solved by minimum-cost
-   assignment, as long as their left-over rows fit a bounded task; beyond that bound, rows are paired by equal
-   projections on fewer and fewer fields, which needs no group in one place and still reports every row.
+   side needs no search and is paired by a second map-side-combined grouping. Keys with more are solved at least cost:
+   few rows by assignment, more by minimum-cost flow over the distinct rows with their multiplicities. A key's distinct
+   left-over rows meet in one task.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
+from collections import defaultdict, deque
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage
-
-ASSIGNMENT_LIMIT = 400  # left-over rows of one key and side that are paired by assignment
+ASSIGNMENT_LIMIT = 400  # left-over rows of one key and side that are paired by assignment; more, also of one distinct row, by flow
 
 
 def least_cost_pairs(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -51,6 +49,104 @@ def least_cost_pairs(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j]]
 
 
+def least_cost_flows(left: np.ndarray, left_n: list[int], right: np.ndarray, right_n: list[int]) -> list[tuple[int, int, int]]:
+    """``(i, j, times)``: all copies of the smaller side paired so that the number of differing fields is least.
+
+    A left row flows to a right row through a node for the values of any set of fields that both hold; what it costs is the
+    number of the other fields. The edges are as many as rows times sets of fields, not pairs of rows. The node of the empty
+    set joins all, so a shortest path costs at most the number of fields, and as many rounds of maximum flow over shortest
+    paths are enough.
+    """
+    fields = left.shape[1]
+    shared: list[dict] = [defaultdict(list), defaultdict(list)]
+    for side, rows in zip(shared, (left, right)):
+        for i, row in enumerate(rows.tolist()):
+            for mask in range(1 << fields):
+                side[mask, tuple(v for f, v in enumerate(row) if mask >> f & 1)].append(i)
+    both = [k for k in shared[0] if k in shared[1]]
+    n, m = len(left), len(right)
+    source, sink = n + m + len(both), n + m + len(both) + 1
+    head, room, cost, edges = [], [], [], [[] for _ in range(sink + 1)]
+
+    def add(u: int, v: int, most: int, price: int) -> int:
+        edges[u].append(len(head))
+        edges[v].append(len(head) + 1)
+        head.extend((v, u)), room.extend((most, 0)), cost.extend((price, -price))
+        return len(head) - 1  # its room is the flow
+
+    for i in range(n):
+        add(source, i, left_n[i], 0)
+    for j in range(m):
+        add(n + j, sink, right_n[j], 0)
+    wanted = min(sum(left_n), sum(right_n))
+    flows = []
+    for at, k in enumerate(both, n + m):
+        price = fields - k[0].bit_count()
+        flows.append(([(i, add(i, at, left_n[i], price)) for i in shared[0][k]], [(j, add(at, n + j, right_n[j], 0)) for j in shared[1][k]]))
+    potential, done = [0] * (sink + 1), 0
+    while done < wanted:
+        far = [np.inf] * (sink + 1)
+        far[source], heap = 0, [(0, source)]
+        while heap:
+            d, u = heappop(heap)
+            if u == sink:
+                break
+            if d > far[u]:
+                continue
+            for e in edges[u]:
+                v = head[e]
+                if room[e] and d + cost[e] + potential[u] - potential[v] < far[v]:
+                    far[v] = d + cost[e] + potential[u] - potential[v]
+                    heappush(heap, (far[v], v))
+        potential = [p + min(d, far[sink]) for p, d in zip(potential, far)]
+        while True:  # a maximum flow over the shortest paths
+            level, queue = [-1] * (sink + 1), deque([source])
+            level[source] = 0
+            while queue and level[sink] < 0:
+                u = queue.popleft()
+                for e in edges[u]:
+                    v = head[e]
+                    if room[e] and level[v] < 0 and cost[e] + potential[u] == potential[v]:
+                        level[v] = level[u] + 1
+                        queue.append(v)
+            if level[sink] < 0:
+                break
+            tried, path, u = [0] * (sink + 1), [], source
+            while True:
+                if u == sink:
+                    pushed = min(room[e] for e in path)
+                    done += pushed
+                    for e in path:
+                        room[e] -= pushed
+                        room[e ^ 1] += pushed
+                    full = next(k for k, e in enumerate(path) if not room[e])
+                    u = head[path[full] ^ 1]
+                    del path[full:]
+                while tried[u] < len(edges[u]):
+                    e = edges[u][tried[u]]
+                    if room[e] and level[head[e]] == level[u] + 1 and cost[e] + potential[u] == potential[head[e]]:
+                        path.append(e)
+                        u = head[e]
+                        break
+                    tried[u] += 1
+                else:
+                    if u == source:
+                        break
+                    level[u] = -1
+                    u = head[path.pop() ^ 1]
+    pairs: dict[tuple[int, int], int] = defaultdict(int)
+    for come, go in flows:
+        givers, takers = ([[i, room[e]] for i, e in side if room[e]] for side in (come, go))
+        while givers:
+            some = min(givers[-1][1], takers[-1][1])
+            pairs[givers[-1][0], takers[-1][0]] += some
+            for side in (givers, takers):
+                side[-1][1] -= some
+                if not side[-1][1]:
+                    side.pop()
+    return [(i, j, times) for (i, j), times in pairs.items()]
+
+
 def leftovers(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """``(keys, row, surplus)``: rows that one copy has more often; a positive surplus is the left's.
 
@@ -61,63 +157,43 @@ def leftovers(left: DataFrame, right: DataFrame, keys: list[str], fields: list[s
     return both.groupBy(*keys, "row").agg(F.sum("n").alias("surplus")).where("surplus <> 0")
 
 
-def _assign(over: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """Minimum-cost pairs of keys with a bounded number of left-over rows."""
+def _assign(over: DataFrame, keys: list[str], fields: list[str], limit: int) -> DataFrame:
+    """Minimum-cost pairs of keys with several left-over rows."""
     key_shape = ", ".join(f"`{k}` {over.schema[k].dataType.simpleString()}" for k in keys)
     names = [f"f{i}" for i in range(len(fields))]
     text = over.select(
         *keys, F.to_json("row").alias("row"), *[F.col(f"row.`{f}`").cast("string").alias(n) for f, n in zip(fields, names)],
-        F.explode(F.expr("sequence(1, abs(surplus))")).alias("_copy"), (F.col("surplus") > 0).alias("is_left"),
+        F.abs("surplus").alias("copies"), (F.col("surplus") > 0).alias("is_left"),
     )
 
     def pair(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["is_left", "row"], kind="stable")
         ours, theirs = group[group.is_left], group[~group.is_left]
         a, b = (side[names].astype(object).where(side[names].notna(), None).to_numpy() for side in (ours, theirs))
-        pairs = least_cost_pairs((a[:, None, :] != b[None, :, :]).sum(axis=2).astype(float)) if len(a) and len(b) else []
-        met_a, met_b = {i for i, _ in pairs}, {j for _, j in pairs}
-        rows = [(ours.row.iloc[i], theirs.row.iloc[j]) for i, j in pairs]
-        rows += [(r, None) for i, r in enumerate(ours.row) if i not in met_a] + [(None, r) for j, r in enumerate(theirs.row) if j not in met_b]
-        out = pd.DataFrame(rows, columns=["l", "r"])
+        of_a, of_b = ([int(n) for n in side.copies] for side in (ours, theirs))
+        if not len(a) or not len(b):
+            pairs = []
+        elif max(sum(of_a), sum(of_b)) > limit:
+            pairs = least_cost_flows(a, of_a, b, of_b)
+        else:
+            each_a, each_b = np.repeat(np.arange(len(a)), of_a), np.repeat(np.arange(len(b)), of_b)
+            cost = (a[each_a][:, None, :] != b[each_b][None, :, :]).sum(axis=2).astype(float)
+            pairs = [(each_a[i], each_b[j], 1) for i, j in least_cost_pairs(cost)]
+        rows = []
+        for i, j, n in pairs:
+            rows.append((ours.row.iloc[i], theirs.row.iloc[j], n))
+            of_a[i] -= n
+            of_b[j] -= n
+        rows += [(r, None, n) for r, n in zip(ours.row, of_a) if n] + [(None, r, n) for r, n in zip(theirs.row, of_b) if n]
+        out = pd.DataFrame(rows, columns=["l", "r", "copies"])
         for k in reversed(keys):
             out.insert(0, k, group[k].iloc[0])
         return out
 
     shape = over.schema["row"].dataType.simpleString()
-    paired = text.groupBy(*keys).applyInPandas(pair, f"{key_shape}, l string, r string")
-    return paired.select(*keys, *[F.from_json(c, shape).alias(c) for c in ("l", "r")])
-
-
-def _ranked(rows: DataFrame, group: list[str], order: list[Column], buckets: int = 64) -> DataFrame:
-    """Adds ``_rank`` within the group, counted in hash buckets, so that no task sorts a whole hot group."""
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    sizes = rows.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate([*group, "_bucket"])], F.coalesce(before, F.lit(0)).alias("_before"))
-    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order)))
-    same = _all([F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate([*group, "_bucket"])])
-    return rows.join(offsets, same).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_bucket", "_before", *[f"_g{i}" for i in range(len(group) + 1)])
-
-
-def _by_projections(over: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """Pairs of keys with any number of left-over rows: equal on as many fields as can be, step by step.
-
-    Every step writes what is left to the shared folder, so that no step repeats the ones before it.
-    """
-    rest = cut_lineage(over.select(*keys, "row", F.explode(F.expr("sequence(1, abs(surplus))")).alias("_copy"), (F.col("surplus") > 0).alias("is_left")))
-    done = []
-    for wanted in range(len(fields) - 1, -1, -1):
-        for kept in combinations(fields, wanted):
-            shared = [*keys, *(f"_p{i}" for i in range(wanted))]
-            view = rest.select("*", *[F.col(f"row.`{f}`").alias(f"_p{i}") for i, f in enumerate(kept)])
-            view = _ranked(view, ["is_left", *shared], [F.to_json("row"), F.col("_copy")])
-            side = lambda left: F.first(F.when(F.col("is_left") == left, F.struct("row", "_copy")), True)
-            met = cut_lineage(view.groupBy(*shared, "_rank").agg(side(True).alias("l"), side(False).alias("r")))
-            done.append(met.where("l IS NOT NULL AND r IS NOT NULL").select(*keys, F.col("l.row").alias("l"), F.col("r.row").alias("r")))
-            one = F.coalesce("l", "r")
-            rest = met.where("l IS NULL OR r IS NULL").select(*keys, one["row"].alias("row"), one["_copy"].alias("_copy"), F.col("l").isNotNull().alias("is_left"))
-    left = rest.select(*keys, F.when(F.col("is_left"), F.col("row")).alias("l"), F.when(~F.col("is_left"), F.col("row")).alias("r"))
-    return reduce(DataFrame.unionByName, done, left)
+    paired = text.groupBy(*keys).applyInPandas(pair, f"{key_shape}, l string, r string, copies long")
+    times = paired.withColumn("_copy", F.explode(F.expr("sequence(1, copies)")))
+    return times.select(*keys, *[F.from_json(c, shape).alias(c) for c in ("l", "r")])
 
 
 def paired_leftovers(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], *, one_row_a_key: bool = False, limit: int = ASSIGNMENT_LIMIT) -> DataFrame:
@@ -126,7 +202,7 @@ def paired_leftovers(left: DataFrame, right: DataFrame, keys: list[str], fields:
     ``one_row_a_key`` says that neither copy repeats a key, as after a reduction to the last row; then only the trivial
     assignment can occur and the search for larger groups is left out of the plan. Rows with a null in a key are compared
     like any others. An empty copy makes every row of the other one-sided. With more than ``limit`` left-over rows of a
-    key and side, the pairing is the one by equal projections: complete, but its cost is not proven least.
+    key and side, pairs of least cost are found by flow instead of assignment.
     """
     over = leftovers(left, right, keys, fields)
     is_left = F.col("surplus") > 0
@@ -139,12 +215,8 @@ def paired_leftovers(left: DataFrame, right: DataFrame, keys: list[str], fields:
     simple = summary.where("_nl <= 1 AND _nr <= 1").select(*keys, "l", "r")
     renamed = [F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]
     same = lambda side: _all([over[k].eqNullSafe(side[f"_{i}"]) for i, k in enumerate(keys)])
-    many = summary.where("_nl > 1 OR _nr > 1").withColumn("_fits", F.greatest("_nl", "_nr") <= limit).select("_fits", *renamed)
-    small, large = many.where("_fits"), many.where("NOT _fits")
-    parts = simple.unionByName(_assign(over.join(small, same(small), "left_semi"), keys, fields))
-    if large.limit(1).count():
-        parts = parts.unionByName(_by_projections(over.join(large, same(large), "left_semi"), keys, fields))
-    return parts
+    many = summary.where("_nl > 1 OR _nr > 1").select(*renamed)
+    return simple.unionByName(_assign(over.join(many, same(many), "left_semi"), keys, fields, limit))
 
 
 def _all(conditions: list[Column]) -> Column:

@@ -37,7 +37,7 @@ def test_one_sided_unequal_and_null_values(spark):
     right = [("a", 1, "x", 1.0), ("b", 1, "y", None), ("d", 1, "x", 2.0), ("e", None, None, None)]
     want = [("b", "g", "value"), ("c", "row", "only_left"), ("d", "row", "only_right")]
     assert found(spark, left, right) == want
-    assert found(spark, left, right, one_row_a_key=True) == want
+    assert found(spark, left, right, repetitions=False) == want
 
 
 def test_identical_rows_cancel_by_multiplicity(spark):
@@ -46,6 +46,22 @@ def test_identical_rows_cancel_by_multiplicity(spark):
     assert found(spark, [row] * 3, [row]) == [("a", "row", "only_left")] * 2
 
 
+def test_repetitions_of_a_row_that_took_part_are_no_difference(spark):
+    row, other, third = ("a", 1, "x", 1.0), ("a", 2, "x", 1.0), ("a", 3, "y", 2.0)
+    once = lambda left, right: sorted(set(found(spark, left, right, repetitions=False)))
+    assert once([row] * 3, [row]) == [] and once([row], [row] * 2) == []
+    assert once([row] * 3, [other]) == [("a", "f", "value")]
+    assert once([row] * 3, []) == [("a", "row", "only_left")]
+    assert once([row, third], [row]) == [("a", "row", "only_left")]  # the third row took no part
+    assert once([row] * 2 + [third] * 2, [other]) == [("a", "f", "value"), ("a", "row", "only_left")]
+    assert once([row, other], [third]) == [("a", "f", "value"), ("a", "g", "value"), ("a", "h", "value"), ("a", "row", "only_left")]
+
+
+def test_rows_of_one_copy_keep_their_multiplicity(spark):
+    rows = pairs(spark, [("a", 1, "x", 1.0)] * 3 + [("a", 2, "x", 1.0)] * 2, [("b", 1, "x", 1.0)]).collect()
+    assert sorted((r.k, bool(r.l)) for r in rows) == [("a", True)] * 5 + [("b", False)]
+
+
 def test_null_keys_and_empty_copies(spark):
     assert found(spark, [(None, 1, "x", 1.0)], [(None, 2, "x", 1.0)]) == [("", "f", "value")]
     assert found(spark, [], []) == []

@@ -2,20 +2,22 @@
 
 1. Identical rows (key and all compared fields) are cancelled by multiplicity: one grouping of both copies with
    the counts +1 and -1, which combines on the map side, so a hot key or a row repeated a billion times is no problem.
-2. What is left over is paired within each key so that the number of differing fields is least. One left-over row a
-   side needs no search and is paired by a second map-side-combined grouping. Keys with more are solved at least cost:
-   few rows by assignment, more by minimum-cost flow over the distinct rows with their multiplicities. A key's distinct
-   left-over rows meet in one task.
+2. What is left over is paired within each key so that the number of differing fields is least. Keys with one distinct row
+   a side, or with rows of one copy only, leave no choice: the first are paired by a second map-side-combined grouping, the
+   second never come together. All others are solved at least cost: few rows by assignment, more by minimum-cost flow over
+   the distinct rows with their multiplicities. Such a key's distinct left-over rows meet in one task.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from functools import reduce
 from heapq import heappop, heappush
+from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ASSIGNMENT_LIMIT = 400  # left-over rows of one key and side that are paired by assignment; more, also of one distinct row, by flow
@@ -148,22 +150,24 @@ def least_cost_flows(left: np.ndarray, left_n: list[int], right: np.ndarray, rig
 
 
 def leftovers(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """``(keys, row, surplus)``: rows that one copy has more often; a positive surplus is the left's.
+    """``(keys, row, surplus, cancelled)``: rows that one copy has more often; a positive surplus is the left's.
 
-    Nulls are equal to nulls here. Other columns of the copies are ignored.
+    ``cancelled`` says whether the other copy holds the row as well, less often. Nulls are equal to nulls here. Other columns
+    of the copies are ignored.
     """
     row = F.struct(*fields)
     both = left.select(*keys, row.alias("row"), F.lit(1).alias("n")).unionByName(right.select(*keys, row.alias("row"), F.lit(-1).alias("n")))
-    return both.groupBy(*keys, "row").agg(F.sum("n").alias("surplus")).where("surplus <> 0")
+    counted = both.groupBy(*keys, "row").agg(F.sum("n").alias("surplus"), (F.min("n") < F.max("n")).alias("cancelled"))
+    return counted.where("surplus <> 0")
 
 
 def _assign(over: DataFrame, keys: list[str], fields: list[str], limit: int) -> DataFrame:
-    """Minimum-cost pairs of keys with several left-over rows."""
+    """``(keys, l, r, copies, extra)``: minimum-cost pairs of keys with several left-over rows."""
     key_shape = ", ".join(f"`{k}` {over.schema[k].dataType.simpleString()}" for k in keys)
     names = [f"f{i}" for i in range(len(fields))]
     text = over.select(
         *keys, F.to_json("row").alias("row"), *[F.col(f"row.`{f}`").cast("string").alias(n) for f, n in zip(fields, names)],
-        F.abs("surplus").alias("copies"), (F.col("surplus") > 0).alias("is_left"),
+        F.abs("surplus").alias("copies"), (F.col("surplus") > 0).alias("is_left"), "cancelled",
     )
 
     def pair(group: pd.DataFrame) -> pd.DataFrame:
@@ -171,9 +175,7 @@ def _assign(over: DataFrame, keys: list[str], fields: list[str], limit: int) ->
         ours, theirs = group[group.is_left], group[~group.is_left]
         a, b = (side[names].astype(object).where(side[names].notna(), None).to_numpy() for side in (ours, theirs))
         of_a, of_b = ([int(n) for n in side.copies] for side in (ours, theirs))
-        if not len(a) or not len(b):
-            pairs = []
-        elif max(sum(of_a), sum(of_b)) > limit:
+        if max(sum(of_a), sum(of_b)) > limit:
             pairs = least_cost_flows(a, of_a, b, of_b)
         else:
             each_a, each_b = np.repeat(np.arange(len(a)), of_a), np.repeat(np.arange(len(b)), of_b)
@@ -181,49 +183,60 @@ def _assign(over: DataFrame, keys: list[str], fields: list[str], limit: int) ->
             pairs = [(each_a[i], each_b[j], 1) for i, j in least_cost_pairs(cost)]
         rows = []
         for i, j, n in pairs:
-            rows.append((ours.row.iloc[i], theirs.row.iloc[j], n))
+            rows.append((ours.row.iloc[i], theirs.row.iloc[j], n, False))
             of_a[i] -= n
             of_b[j] -= n
-        rows += [(r, None, n) for r, n in zip(ours.row, of_a) if n] + [(None, r, n) for r, n in zip(theirs.row, of_b) if n]
-        out = pd.DataFrame(rows, columns=["l", "r", "copies"])
+        for side, rest, at in ((ours, of_a, 0), (theirs, of_b, 1)):
+            for row, n, copies, cancelled in zip(side.row, rest, side.copies, side.cancelled):
+                if n:
+                    rows.append((*(row if i == at else None for i in (0, 1)), n, bool(cancelled or n < copies)))
+        out = pd.DataFrame(rows, columns=["l", "r", "copies", "extra"])
         for k in reversed(keys):
             out.insert(0, k, group[k].iloc[0])
         return out
 
     shape = over.schema["row"].dataType.simpleString()
-    paired = text.groupBy(*keys).applyInPandas(pair, f"{key_shape}, l string, r string, copies long")
-    times = paired.withColumn("_copy", F.explode(F.expr("sequence(1, copies)")))
-    return times.select(*keys, *[F.from_json(c, shape).alias(c) for c in ("l", "r")])
+    paired = text.groupBy(*keys).applyInPandas(pair, f"{key_shape}, l string, r string, copies long, extra boolean")
+    return paired.select(*keys, *[F.from_json(c, shape).alias(c) for c in ("l", "r")], "copies", "extra")
 
 
-def paired_leftovers(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], *, one_row_a_key: bool = False, limit: int = ASSIGNMENT_LIMIT) -> DataFrame:
+def paired_leftovers(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], *, repetitions: bool = True, limit: int = ASSIGNMENT_LIMIT) -> DataFrame:
     """``(keys, l, r)``: left-over rows after cancellation, in pairs of least difference; one side is null where none is left.
 
-    ``one_row_a_key`` says that neither copy repeats a key, as after a reduction to the last row; then only the trivial
-    assignment can occur and the search for larger groups is left out of the plan. Rows with a null in a key are compared
-    like any others. An empty copy makes every row of the other one-sided. With more than ``limit`` left-over rows of a
-    key and side, pairs of least cost are found by flow instead of assignment.
+    Keys with left-over rows of one copy only, or with one distinct row a side, leave no choice and are paired without
+    bringing their rows together; all others go through minimum-cost assignment, by flow with more than ``limit`` left-over
+    rows of a key and side. Without ``repetitions``, copies that stay single although another copy of the same row was
+    cancelled or paired are left out, and every other row or pair comes once. Rows with a null in a key are compared like any
+    others. An empty copy makes every row of the other one-sided.
     """
     over = leftovers(left, right, keys, fields)
-    is_left = F.col("surplus") > 0
+    is_left, copies = F.col("surplus") > 0, F.abs("surplus")
+    side = lambda of, value: F.when(of, value)
     summary = over.groupBy(*keys).agg(
-        F.sum(F.when(is_left, F.col("surplus")).otherwise(0)).alias("_nl"), F.sum(F.when(~is_left, -F.col("surplus")).otherwise(0)).alias("_nr"),
-        F.max(F.when(is_left, F.col("row"))).alias("l"), F.max(F.when(~is_left, F.col("row"))).alias("r"),
+        F.count_if(is_left).alias("_dl"), F.count_if(~is_left).alias("_dr"), F.sum(side(is_left, copies)).alias("_nl"), F.sum(side(~is_left, copies)).alias("_nr"),
+        F.max(side(is_left, F.struct("row", "cancelled"))).alias("_l"), F.max(side(~is_left, F.struct("row", "cancelled"))).alias("_r"),
     )
-    if one_row_a_key:
-        return summary.select(*keys, "l", "r")
-    simple = summary.where("_nl <= 1 AND _nr <= 1").select(*keys, "l", "r")
-    renamed = [F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]
-    same = lambda side: _all([over[k].eqNullSafe(side[f"_{i}"]) for i, k in enumerate(keys)])
-    many = summary.where("_nl > 1 OR _nr > 1").select(*renamed)
-    return simple.unionByName(_assign(over.join(many, same(many), "left_semi"), keys, fields, limit))
-
-
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out &= c
-    return out
+    no_choice = "_dl <= 1 AND _dr <= 1"
+    n = F.least("_nl", "_nr")
+    null = F.lit(None).cast(over.schema["row"].dataType)
+    part = lambda l, r, copies, extra: F.struct(l.alias("l"), r.alias("r"), copies.cast("long").alias("copies"), extra.alias("extra"))
+    both, none = n.isNotNull() & F.col("_nl").isNotNull() & F.col("_nr").isNotNull(), F.lit(0)
+    paired = F.when(both, n).otherwise(none)
+    parts = F.array(
+        part(F.col("_l.row"), F.col("_r.row"), paired, F.lit(False)),
+        part(F.col("_l.row"), null, F.coalesce("_nl", none) - paired, F.coalesce("_l.cancelled", F.lit(False)) | both),
+        part(null, F.col("_r.row"), F.coalesce("_nr", none) - paired, F.coalesce("_r.cancelled", F.lit(False)) | both),
+    )
+    simple = summary.where(no_choice).select(*keys, F.inline(F.filter(parts, lambda p: p["copies"] > 0)))
+    marked = summary.where(f"NOT ({no_choice})").select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], (F.least("_dl", "_dr") == 0).alias("_one"))
+    same = reduce(and_, [over[k].eqNullSafe(marked[f"_{i}"]) for i, k in enumerate(keys)])
+    several = over.join(marked, same).select(*keys, "row", "surplus", "cancelled", "_one")
+    whole = F.col("row")
+    alone = several.where("_one").select(*keys, F.when(is_left, whole).alias("l"), F.when(~is_left, whole).alias("r"), copies.cast("long").alias("copies"), F.col("cancelled").alias("extra"))
+    found = simple.unionByName(alone).unionByName(_assign(several.where("NOT _one").drop("_one"), keys, fields, limit))
+    if not repetitions:
+        return found.where("NOT extra").select(*keys, "l", "r")
+    return found.withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))).select(*keys, "l", "r")
 
 
 def field_differences(pairs: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

@@ -71,10 +71,8 @@ def _as_number(c: str):
     return F.col(c).cast("decimal(38,12)").alias(c)
 
 
-def _bar_copies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Per fund and day the last bar of the primary source, and of the supplemental copy in the same units and types."""
-    keys = ["fund", "trade_date"]
-    last = lambda df, order: df.dropna(subset=keys).groupBy(*keys).agg(F.max(F.struct(*order, F.struct(*BAR_FIELDS).alias("row")))["row"].alias("row")).select(*keys, "row.*")
+def _bar_revisions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All rows of the primary source, and of the supplemental copy in the same units and types."""
     bars = table(spark, folder, "market_bars").where(token("source") == CANONICAL_SOURCE)
     ours = bars.select(six_digits("symbol").alias("fund"), "trade_date", "ingest_time", "bar_seq", *map(_as_number, BAR_FIELDS))
     lots = F.lower(F.get_json_object("provider_payload", "$.unit")).eqNullSafe("lot")
@@ -83,6 +81,14 @@ def _bar_copies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
         *[number(f).alias(f) for f in ("open", "high", "low", "close", "turnover")],
         (F.col("volume") * F.when(lots, SHARES_A_LOT).otherwise(1)).cast("decimal(38,12)").alias("volume"),
     )
+    return ours, copy
+
+
+def _bar_copies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Per fund and day the last bar of either copy."""
+    keys = ["fund", "trade_date"]
+    last = lambda df, order: df.dropna(subset=keys).groupBy(*keys).agg(F.max(F.struct(*order, F.struct(*BAR_FIELDS).alias("row")))["row"].alias("row")).select(*keys, "row.*")
+    ours, copy = _bar_revisions(spark, folder)
     return last(ours, ["ingest_time", "bar_seq"]), last(copy, ["retrieved_at"])
 
 
@@ -102,11 +108,10 @@ def _differences(left: DataFrame, right: DataFrame, fields: list[str], **how) ->
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """One-sided rows and unequal fields of the two copies of the bars and of the reconciliation results.
 
-    A key that either copy of the results repeats with the same values counts once.
+    A row that either copy repeats counts once: repetitions that stay single after pairing are no difference.
     """
-    bars = _differences(*_bar_copies(spark, folder), BAR_FIELDS, one_row_a_key=True)
-    desk, archive = (side.distinct() for side in _result_copies(spark, folder))
-    results = _differences(desk, archive, RESULT_FIELDS)
+    bars = _differences(*_bar_copies(spark, folder), BAR_FIELDS, repetitions=False)
+    results = _differences(*_result_copies(spark, folder), RESULT_FIELDS, repetitions=False).distinct()
     found = bars.withColumn("dataset", F.lit("bars")).unionByName(results.withColumn("dataset", F.lit("results")))
     return with_symbol(found, folder).select("dataset", "symbol", iso("trade_date").alias("trade_date"), "field_name", "difference")
 
@@ -117,6 +122,22 @@ def p4_result_copies(spark: SparkSession, folder: str) -> DataFrame:
     return with_symbol(found, folder).select("symbol", iso("trade_date").alias("trade_date"), "field_name", "difference")
 
 
+def p4_bar_revisions(spark: SparkSession, folder: str) -> DataFrame:
+    """All revisions of a bar in one copy against all in the other: per fund and day the left-over rows, pairs and unequal fields.
+
+    A fund and day has several different rows on either side, so that which are paired is a choice; the unequal fields are the
+    fewest that any pairing leaves.
+    """
+    keys = ["fund", "trade_date"]
+    pairs = paired_leftovers(*(side.dropna(subset=keys) for side in _bar_revisions(spark, folder)), keys, BAR_FIELDS)
+    paired = F.col("l").isNotNull() & F.col("r").isNotNull()
+    unequal = sum((~F.col(f"l.{f}").eqNullSafe(F.col(f"r.{f}"))).cast("int") for f in BAR_FIELDS)
+    counts = pairs.groupBy(*keys).agg(
+        F.count("l").alias("n_left"), F.count("r").alias("n_right"), F.count_if(paired).alias("n_pairs"), F.sum(F.when(paired, unequal).otherwise(0)).alias("n_unequal")
+    )
+    return with_symbol(counts, folder).withColumn("trade_date", iso("trade_date"))
+
+
 def _weekly_changes(spark: SparkSession, folder: str) -> DataFrame:
     bars = table(spark, folder, "market_bars").where(token("source") == CANONICAL_SOURCE)
     arrival = F.coalesce("observed_at", "ingest_time")
@@ -168,7 +189,7 @@ def p6_history(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("symbol", iso("valid_from").alias("valid_from"), F.coalesce(iso("valid_to"), F.lit("open")).alias("valid_to"), "tracking_index", F.col("management_fee").cast("decimal(38,18)").alias("management_fee"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_attributes, p4_found, p4_result_copies, p5_found, p5_four_weeks, p6_found, p6_history)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_attributes, p4_found, p4_result_copies, p4_bar_revisions, p5_found, p5_four_weeks, p6_found, p6_history)}
 
 
 # --- the same in SQL -------------------------------------------------------------------------------------------------
@@ -299,6 +320,38 @@ found AS (
 SELECT symbol, strftime(trade_date, '%Y-%m-%d') AS trade_date, field_name, difference FROM found JOIN funds USING (fund)
 """
 
+_FIELD_LIST = ", ".join(BAR_FIELDS)
+# Every way to give each row of the smaller side a row of the larger one of its own, and of these the cheapest.
+_P4_REVISIONS = f"""
+WITH RECURSIVE {_FUNDS},
+ours AS (
+  SELECT {sql_digits('symbol')} AS fund, trade_date, {', '.join(f'CAST({f} AS DECIMAL(30,8)) AS {f}' for f in BAR_FIELDS)} FROM market_bars
+  WHERE {sql_token('source')} = 'longbridge' AND {sql_digits('symbol')} IS NOT NULL AND trade_date IS NOT NULL
+),
+theirs AS (
+  SELECT {sql_digits('symbol')} AS fund, CAST(provider_timestamp AT TIME ZONE 'Asia/Shanghai' AS DATE) AS trade_date, {', '.join(f'{_sql_number(f)} AS {f}' for f in ('open', 'high', 'low', 'close'))},
+    CAST(volume * CASE WHEN lower(json_extract_string(provider_payload, '$.unit')) = 'lot' THEN {SHARES_A_LOT} ELSE 1 END AS DECIMAL(30,8)) AS volume, {_sql_number('turnover')} AS turnover
+  FROM supplemental_bars WHERE {sql_digits('symbol')} IS NOT NULL AND provider_timestamp IS NOT NULL
+),
+l AS (SELECT * FROM ours EXCEPT ALL SELECT * FROM theirs),
+r AS (SELECT * FROM theirs EXCEPT ALL SELECT * FROM ours),
+sizes AS (SELECT fund, trade_date, count(*) FILTER (WHERE side = 'l') AS nl, count(*) FILTER (WHERE side = 'r') AS nr FROM (SELECT fund, trade_date, 'l' AS side FROM l UNION ALL SELECT fund, trade_date, 'r' FROM r) GROUP BY ALL),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY fund, trade_date, side ORDER BY {_FIELD_LIST}) AS i FROM (SELECT 'l' AS side, * FROM l UNION ALL SELECT 'r', * FROM r)
+),
+small AS (SELECT n.* FROM numbered n JOIN sizes s USING (fund, trade_date) WHERE least(nl, nr) > 0 AND n.side = CASE WHEN nl <= nr THEN 'l' ELSE 'r' END),
+large AS (SELECT n.* FROM numbered n JOIN sizes s USING (fund, trade_date) WHERE least(nl, nr) > 0 AND n.side = CASE WHEN nl <= nr THEN 'r' ELSE 'l' END),
+costs AS (SELECT a.fund, a.trade_date, a.i, b.i AS j, {' + '.join(f'CAST(a.{f} IS DISTINCT FROM b.{f} AS INTEGER)' for f in BAR_FIELDS)} AS cost FROM small a JOIN large b USING (fund, trade_date)),
+ways AS (
+  SELECT fund, trade_date, 1 AS i, [j] AS taken, cost FROM costs WHERE i = 1
+  UNION ALL
+  SELECT c.fund, c.trade_date, c.i, list_append(w.taken, c.j), w.cost + c.cost FROM ways w JOIN costs c ON c.fund = w.fund AND c.trade_date = w.trade_date AND c.i = w.i + 1 AND NOT list_contains(w.taken, c.j)
+),
+cheapest AS (SELECT fund, trade_date, arg_max(cost, (i, -cost)) AS cost FROM ways GROUP BY ALL)
+SELECT symbol, strftime(trade_date, '%Y-%m-%d') AS trade_date, nl AS n_left, nr AS n_right, least(nl, nr) AS n_pairs, CAST(coalesce(cost, 0) AS BIGINT) AS n_unequal
+FROM sizes LEFT JOIN cheapest USING (fund, trade_date) JOIN funds USING (fund)
+"""
+
 _P5_CHANGES = f"""
 {_FUNDS},
 rows AS (
@@ -363,6 +416,7 @@ SQL = {
     "p3_attributes": _p3_sql(list(EVENT_ATTRIBUTES), {"tracking_index": sql_digits("o.tracking_index"), "management_fee": "CAST(o.management_fee AS VARCHAR)", "fund_company": sql_known("o.fund_company")}),
     "p4_found": _P4,
     "p4_result_copies": _P4_COPIES,
+    "p4_bar_revisions": _P4_REVISIONS,
     "p5_found": _P5,
     "p5_four_weeks": _P5_FOUR,
     "p6_found": f"WITH {_P6_PERIODS} SELECT {_P6_COLUMNS} FROM periods JOIN funds USING (fund)",

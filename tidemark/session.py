@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ ENGINE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # checkpoints go when the rows that read them are gone
     "spark.ui.enabled": "false",
 }
 
@@ -36,18 +39,40 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the cluster's ``spark.checkpoint.dir`` if it names one.
+    """The session's folder in the shared checkpoint folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a single machine) is a temporary folder made.
+    Where that setting is absent, a master on this one machine (``local[...]``) gets a temporary folder, removed at exit; any
+    other is an error, as its executors would not see a folder of the driver's machine.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    folder = named or tempfile.mkdtemp(prefix=f"tidemark-{os.getpid()}-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix=f"tidemark-{os.getpid()}-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
-    return folder
+    return context.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, *parts: str) -> str:
+    """A place for a written table in the shared folder, the session's own."""
+    return "/".join([ensure_checkpoint_dir(spark), "tables", *parts])
+
+
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to ``path`` and committed."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
+def drop_stored(spark: SparkSession, path: str) -> None:
+    """Remove a written table, if there is one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 ASSIGNMENT_LIMIT = 400  # left-over rows of one key and side that are paired by assignment; more, also of one distinct row, by flow
 
 
@@ -209,7 +211,7 @@ def paired_leftovers(left: DataFrame, right: DataFrame, keys: list[str], fields:
     cancelled or paired are left out, and every other row or pair comes once. Rows with a null in a key are compared like any
     others. An empty copy makes every row of the other one-sided.
     """
-    over = leftovers(left, right, keys, fields)
+    over = cut_lineage(leftovers(left, right, keys, fields))  # the differing rows alone; both copies are read once
     is_left, copies = F.col("surplus") > 0, F.abs("surplus")
     side = lambda of, value: F.when(of, value)
     summary = over.groupBy(*keys).agg(

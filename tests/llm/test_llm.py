@@ -17,8 +17,8 @@ SCHEMA = "g string, field_name string, id long, value string, rank int, at int,
 def survive(spark, rows, ranked=True):
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
     order = F.struct(-F.col("rank"), F.col("at"), -F.col("id"))
-    vote = F.when(F.col("rank").isNotNull(), order) if ranked else trust_votes(F.lit(1.0) / F.col("rank"), F.lit(10) - F.col("at"), F.lit(10))
-    out = survivors(df, group=["g", "field_name"], candidate="id", value=normalised("value"), vote=vote, order=order, keep=["id", "value"])
+    vote = None if ranked else trust_votes(F.lit(1.0) / F.col("rank"), F.lit(10) - F.col("at"), F.lit(10))
+    out = survivors(df, group=["g", "field_name"], candidate="id", value=normalised("value"), vote=vote, order=F.when(F.col("rank").isNotNull(), order), keep=["id", "value"])
     return sorted((r.g, r.field_name, r.id) for r in out.collect())
 
 
@@ -35,6 +35,14 @@ def test_summed_votes_let_agreeing_sources_win(spark):
     assert survive(spark, rows[:1] + rows[2:4], ranked=False) == [("a", "fee", 1)]
 
 
+def test_places_keep_the_strict_order_of_large_groups(spark):
+    r = random.Random(3)
+    rows = [("a", "f", i, r.choice("uvwxyz"), r.randint(1, 3), r.randint(0, 400)) for i in range(3000)]
+    for some in (rows, [x for x in rows if x[4] == 3], rows[:600]):
+        best = max(some, key=lambda x: (-x[4], x[5], -x[2]))
+        assert survive(spark, some) == [("a", "f", best[2])]
+
+
 def test_ties_and_notations(spark):
     same = [("a", "f", i, v, 1, 1) for i, v in [(3, "x"), (1, "y"), (2, "z")]]
     assert survive(spark, same) == [("a", "f", 1)]

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from tidemark.functions.clean import BLANKS, UNKNOWN_TEXTS, iso, six_digits, token, utc_day
 from tidemark.llm.packing import pack
 from tidemark.llm.subjects import subject_posteriors
-from tidemark.llm.survivors import normalised, pivot_back, survivors, trust_votes
+from tidemark.llm.survivors import normalised, pivot_back, survivors, trust_votes, unpivot
 from tidemark.llm.tokenizer import round_trips, token_ids, token_sizes
 from tidemark.session import bounded_broadcast, cut_lineage
 from tidemark.sources.tables import table, with_symbol
 
+HALF_LIFE_SECONDS = 90 * 86_400
 SURVIVOR_FIELDS = ["aum", "fund_company", "fund_name", "iopv", "list_date", "management_fee", "nav", "shares", "tracking_index"]
 
 
@@ -36,11 +37,14 @@ def _judged_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The surviving candidate of each fund, as_of and field with at least two candidates, by strictly ranked votes."""
+    """The surviving candidate of each fund, as_of and field with at least two candidates.
+
+    The stated order is strict, so trust and decay are set by its places: the votes of a value are summed all the same.
+    """
     rows = _judged_candidates(spark, folder)
     order = F.struct(~F.col("expired"), -F.col("precedence_rank"), "seen_at", "ingest_time", "provider_payload_hash", -F.col("candidate_id"))
-    vote = F.when(F.col("precedence_rank").isNotNull(), order)
-    found = survivors(rows, group=["fund", "as_of", "field_name"], candidate="candidate_id", value=normalised("value"), vote=vote, order=order, keep=["candidate_id"])
+    ranked = F.when(F.col("precedence_rank").isNotNull(), order)
+    found = survivors(rows, group=["fund", "as_of", "field_name"], candidate="candidate_id", value=normalised("value"), order=ranked, keep=["candidate_id"])
     return with_symbol(found, folder).select("symbol", iso(utc_day("as_of")).alias("as_of_date"), "field_name", "candidate_id")
 
 
@@ -57,6 +61,23 @@ def p1_records(spark: SparkSession, folder: str) -> DataFrame:
     return with_symbol(wide, folder).select("symbol", F.unix_seconds("as_of").alias("as_of_second"), *SURVIVOR_FIELDS)
 
 
+def p1_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """One record per fund from all its wide observations: unpivoted, each field's value with the most summed votes, pivoted back.
+
+    A source's trust is the inverse of its rank in the field's policy (0.1 outside it); a vote is halved for every 90 days
+    before the latest snapshot of the table.
+    """
+    rows = table(spark, folder, "etf_metadata_obs").select("meta_seq", six_digits("symbol").alias("fund"), token("source").alias("_source"), F.coalesce("snapshot_at", "available_time").alias("seen_at"), "ingest_time", *SURVIVOR_FIELDS)
+    latest = rows.agg(F.max("seen_at").alias("_latest"))  # one row
+    policy = table(spark, folder, "resolution_policy").select("field_name", token("source").alias("_source"), "precedence_rank")
+    long = unpivot(rows, ["meta_seq", "fund", "_source", "seen_at", "ingest_time"], SURVIVOR_FIELDS)
+    long = long.join(bounded_broadcast(policy), ["field_name", "_source"], "left").join(F.broadcast(latest)).withColumn("value", normalised("value"))
+    age = (F.unix_micros("_latest") - F.unix_micros("seen_at")) / F.lit(1_000_000)
+    vote = trust_votes(F.coalesce(F.lit(1.0) / F.col("precedence_rank"), F.lit(0.1)), age, F.lit(HALF_LIFE_SECONDS))
+    found = survivors(long, group=["fund", "field_name"], candidate="meta_seq", value=F.col("value"), vote=vote, order=F.struct("seen_at", "ingest_time", "meta_seq"), keep=["value"])
+    return with_symbol(pivot_back(found, ["fund"], SURVIVOR_FIELDS), folder).select("symbol", *SURVIVOR_FIELDS)
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The token ids of every document."""
     return token_ids(table(spark, folder, "documents"))
@@ -106,7 +127,7 @@ def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
     return each.groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.sum(1 / F.col("n")), 6).alias("weighted"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p7_ids, p7_round_trip, p8_containers, p8_fill, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_metadata, p7_ids, p7_round_trip, p8_containers, p8_fill, p9_found, p9_composition)}
 
 
 # --- the same in SQL -------------------------------------------------------------------------------------------------
@@ -159,8 +180,27 @@ SELECT symbol, CAST(epoch_us(as_of) // 1000000 AS BIGINT) AS as_of_second, {', '
 FROM won JOIN funds USING (fund) GROUP BY symbol, as_of
 """
 
+_P1_LONG = " UNION ALL ".join(f"SELECT meta_seq, fund, src, seen_at, ingest_time, '{f}' AS field_name, CAST({f} AS VARCHAR) AS raw FROM obs" for f in SURVIVOR_FIELDS)
+_P1_METADATA = f"""
+WITH funds AS (SELECT {_DIGITS('symbol')} AS fund, min(symbol) AS symbol FROM instruments GROUP BY 1),
+obs AS (SELECT *, {_DIGITS('symbol')} AS fund, {_TOKEN('source')} AS src, coalesce(snapshot_at, available_time) AS seen_at FROM etf_metadata_obs),
+latest AS (SELECT max(seen_at) AS newest FROM obs),
+long AS (SELECT *, CASE WHEN {_TOKEN('raw')} NOT IN ({_UNKNOWN}) THEN trim(raw, {_BLANKS}) END AS value FROM ({_P1_LONG}) WHERE fund IS NOT NULL),
+ballots AS (
+  SELECT l.*, CASE WHEN l.field_name = 'tracking_index' THEN coalesce({_DIGITS('value')}, {_PLAIN}) ELSE coalesce({_SHORTEST}, {_PLAIN}) END AS plain,
+    CAST(round(coalesce(1.0::DOUBLE / p.precedence_rank, 0.1::DOUBLE) * pow(0.5::DOUBLE, greatest((epoch_us(newest) - epoch_us(seen_at)) / 1e6, 0) / {HALF_LIFE_SECONDS}) * 1000000) AS BIGINT) AS vote,
+    row_number() OVER (ORDER BY seen_at, ingest_time, meta_seq) AS ord
+  FROM long l CROSS JOIN latest LEFT JOIN resolution_policy p ON p.field_name = l.field_name AND {_TOKEN('p.source')} = l.src WHERE value IS NOT NULL
+),
+several AS (SELECT fund FROM obs GROUP BY fund HAVING count(DISTINCT meta_seq) > 1),
+tally AS (SELECT fund, field_name, plain, sum(vote) AS votes, max(ord) AS ord FROM ballots GROUP BY ALL),
+won AS (SELECT fund, field_name, arg_max(plain, (votes, ord)) AS plain FROM tally JOIN several USING (fund) GROUP BY ALL)
+SELECT symbol, {', '.join(f"max(plain) FILTER (WHERE field_name = '{f}') AS {f}" for f in SURVIVOR_FIELDS)} FROM won JOIN funds USING (fund) GROUP BY symbol
+"""
+
 SQL = {
     "p1_found": _P1_FOUND,
     "p1_records": _P1_RECORDS,
+    "p1_metadata": _P1_METADATA,
     "p7_round_trip": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes, true AS exact FROM documents",
 }

@@ -1,21 +1,22 @@
 """The best representative of each group of duplicate records, field by field.
 
-Records are unpivoted to long rows, one per field. Every row votes for its normalised value; the votes of a value are
-combined, the winner is the value with the greatest vote (``max_by``), and the winners are pivoted back to one record.
+Records are unpivoted to long rows, one per field. Every row votes for its normalised value with its source's trust times the
+decay of its recency; the votes of a value are summed, the winner is the value with the most votes (``max_by``), and the
+winners are pivoted back to one record.
 
-A vote is either a number, which is summed (source trust times recency decay), or a struct, which is ranked. The ranked
-form is the limit of trust and decay so steep that no number of lesser votes outweighs a greater one; sums cannot give
-it, as two agreeing sources of lower rank would outvote the first. Both groupings combine on the map side, so that a group
-with a third of all rows arrives as one row per distinct value and task.
+Trust and decay are either given as numbers (``trust_votes``), or set by the places of a strict order (``placed_votes``): trust
+and decay then fall so steeply that all lesser votes together never reach a greater one. Groupings combine on the map side
+and places are limited before the shuffle, so that a group with a third of all rows sends few rows per task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.clean import known_text, number, six_digits
 
+PLACES = 512  # 0.25 to the power of 511 is the least normal number
 VOTE_UNIT = 1_000_000  # votes are whole millionths, so that their sums do not depend on the order of rows
 
 
@@ -43,26 +44,33 @@ def trust_votes(trust: Column, age_seconds: Column, half_life_seconds: Column) -
     return F.round(trust * decay * VOTE_UNIT).cast("long")
 
 
-def survivors(rows: DataFrame, *, group: list[str], candidate: str, value: Column, vote: Column, order: Column, keep: list[str]) -> DataFrame:
+def placed_votes(ballots: DataFrame, group: list[str], order: str) -> DataFrame:
+    """Adds ``_vote``: a quarter of the vote of the next greater ``order`` in the group, 1 for the greatest.
+
+    A vote exceeds the sum of all lesser ones threefold, so sums keep the strict order, in floating point too. Places beyond
+    ``PLACES`` have votes below the least number, that is 0, and are left out.
+    """
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(order)))
+    return ballots.withColumn("_place", place).where(F.col("_place") <= PLACES).withColumn("_vote", F.pow(F.lit(0.25), F.col("_place") - 1)).drop("_place")
+
+
+def survivors(rows: DataFrame, *, group: list[str], candidate: str, value: Column, order: Column, keep: list[str], vote: Column | None = None) -> DataFrame:
     """``(group, keep)``: for each group of at least two different candidates the surviving one.
 
-    A row counts if its (normalised) ``value`` and its ``vote`` are not null. Numeric votes of a value are summed over its
-    different candidates, struct votes ranked; ties between values, and the choice among the rows of the winning value, go
-    by ``order``. Rows with a null in a group column are ignored; a repeated row counts once; a group without a row that
-    counts has no result.
+    A row counts if its (normalised) ``value`` is known and its ``vote`` is not null, or, where no vote is given, its
+    ``order``, whose places then set the votes. Votes of a value are summed over its different candidates; ties between
+    values, and the choice among the rows of the winning value, go by ``order``. Rows with a null in a group column are
+    ignored; a repeated row counts once; a group without a row that counts has no result.
     """
-    summed = rows.select(vote.alias("v")).schema["v"].dataType.typeName() != "struct"
-    ballots = rows.dropna(subset=[*group, candidate]).select(*group, F.col(candidate).alias("_id"), vote.alias("_vote"), value.alias("_value"), order.alias("_order"), F.struct(*keep).alias("_keep"))
-    counts = F.col("_value").isNotNull() & F.col("_vote").isNotNull()
-    ballots = ballots.withColumn("_value", F.when(counts, F.col("_value"))).withColumn("_vote", F.when(counts, F.col("_vote")))
-    if summed:
-        ballots = ballots.groupBy(*group, "_id", "_value").agg(F.max("_vote").alias("_vote"), F.max(F.struct("_order", "_keep")).alias("_b")).select(*group, "_id", "_value", "_vote", "_b._order", "_b._keep")
-    by_value = ballots.groupBy(*group, "_value").agg(
-        F.min("_id").alias("_low"), F.max("_id").alias("_high"), (F.sum("_vote") if summed else F.max("_vote")).alias("_vote"), F.max(F.struct("_order", "_keep")).alias("_best")
-    )
-    ranked = F.when(F.col("_vote").isNotNull(), F.struct("_vote", "_best", "_value"))
-    won = by_value.groupBy(*group).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.max_by("_best", ranked).alias("_best"))
-    return won.where("_low <> _high AND _best IS NOT NULL").select(*group, "_best._keep.*")
+    known = rows.dropna(subset=[*group, candidate]).select(*group, F.col(candidate).alias("_id"), (vote if vote is not None else F.lit(0)).alias("_vote"), value.alias("_value"), order.alias("_order"), F.struct(*keep).alias("_keep"))
+    several = known.groupBy(*group).agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")).where("_low <> _high").select(*group)
+    counts = F.col("_value").isNotNull() & F.col("_vote").isNotNull() & F.col("_order").isNotNull()
+    ballots = known.where(counts).groupBy(*group, "_id", "_value").agg(F.max("_vote").alias("_vote"), F.max(F.struct("_order", "_keep")).alias("_best"))
+    if vote is None:
+        ballots = placed_votes(ballots, group, "_best")
+    tally = ballots.groupBy(*group, "_value").agg(F.sum("_vote").alias("_votes"), F.max("_best").alias("_best"))
+    won = tally.groupBy(*group).agg(F.max_by("_best", F.struct("_votes", "_best", "_value")).alias("_best"))
+    return won.join(several, group, "left_semi").select(*group, "_best._keep.*")
 
 
 def pivot_back(winners: DataFrame, ids: list[str], fields: list[str], value: str = "value") -> DataFrame:

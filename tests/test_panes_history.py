@@ -1,3 +1,4 @@
+import random
 from datetime import date, timedelta
 
 import pytest
@@ -6,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions.clean import monday
-from tidemark.operators.history import observed_versions, reconstruct, store, validity
+from tidemark.operators.history import append_history, observed_versions, read_history, reconstruct, store, validity
 from tidemark.operators.panes import pane_changes, window_corrections
 
 BASE = date(2025, 1, 6)
@@ -65,12 +66,21 @@ def test_panes_against_brute_force(spark, rows, size):
 SCHEMA = "k string, ef date, et date, seq int, idx string, fee decimal(6,4), patch string, period string"
 
 
-def periods(spark, rows, period="quarter"):
+ATTRIBUTES = ["idx", "fee"]
+
+
+def observed(spark, rows):
     df = spark.createDataFrame([(k, f, t, s, i, fee and F_(fee), "clash", "clash") for k, f, t, s, i, fee in rows], SCHEMA)
-    v = observed_versions(df, entity="k", effective_from="ef", latest_by=["seq"], attributes={"idx": F.col("idx"), "fee": F.col("fee")}, effective_to=F.col("et"))
-    stored = store(v, entity="k", attributes=["idx", "fee"], period=period)
-    out = validity(reconstruct(stored, entity="k", attributes=["idx", "fee"]), entity="k", attributes=["idx", "fee"])
-    return sorted((r.k, r.valid_from, r.valid_to or date.max, r.idx or "", r.fee or "") for r in out.collect())
+    return observed_versions(df, entity="k", effective_from="ef", latest_by=["seq"], attributes={"idx": F.col("idx"), "fee": F.col("fee")}, effective_to=F.col("et"))
+
+
+def spans(stored):
+    out = validity(reconstruct(stored, entity="k", attributes=ATTRIBUTES), entity="k", attributes=ATTRIBUTES)
+    return sorted((r.k, r.valid_from, r.valid_to or date.max, r.idx or "", str(r.fee) if r.fee is not None else "") for r in out.collect())
+
+
+def periods(spark, rows, period="quarter"):
+    return spans(store(observed(spark, rows), entity="k", attributes=ATTRIBUTES, period=period))
 
 
 def F_(x):
@@ -123,8 +133,29 @@ def test_history_against_brute_force(spark, rows, period):
 
 
 def test_checkpoints_are_whole_and_patches_are_not(spark):
-    rows = spark.createDataFrame([("a", date(2025, m, 1), None, "i", "f" if m == 1 else None) for m in range(1, 7)], "k string, effective_from date, effective_to date, idx string, fee string")
-    stored = store(rows, entity="k", attributes=["idx", "fee"]).orderBy("effective_from").collect()
+    rows = [("a", date(2025, m, 1), None, m, "i" if m in (1, 4) else None, "0.1000" if m == 1 else None) for m in range(1, 7)]
+    stored = store(observed(spark, rows), entity="k", attributes=ATTRIBUTES).orderBy("effective_from").collect()
     assert [r.is_checkpoint for r in stored] == [True, False, False, True, False, False]
-    assert [len(r.patch) for r in stored] == [2, 0, 0, 2, 0, 0]
-    assert pytest.approx(2) == len({r.period for r in stored})
+    assert [(bool(r.stated.idx), bool(r.stated.fee)) for r in stored] == [(True, True), (False, False), (False, False), (True, False), (False, False), (False, False)]
+    assert [r.carried and (r.carried.idx, r.carried.fee and str(r.carried.fee)) for r in stored] == [(None, None), None, None, (None, "0.1000"), None, None]
+    assert len({r.period for r in stored}) == 2
+
+
+def test_the_store_grows_by_what_changes(spark, tmp_path):
+    r = random.Random(4)
+    day = lambda: date(2024, 1, 1) + timedelta(r.randint(0, 300))
+    rows = [(r.choice("abc"), day(), r.choice([None, day()]), n, r.choice([None, "i", "j"]), r.choice([None, "0.1000", "0.2000"])) for n in range(60)]
+    r.shuffle(rows)
+    root, read = str(tmp_path / "history"), lambda: read_history(spark, str(tmp_path / "history"), "k")
+    assert read() is None
+    append = lambda some: append_history(spark, root, observed(spark, some), entity="k", attributes=ATTRIBUTES)
+    for n, part in enumerate([rows[:25], rows[25:50], rows[50:]]):
+        append(part)
+        assert spans(read()) == history(rows[: (25, 50, 60)[n]])
+    held = sorted(map(str, read().collect()))
+    append(rows[10:30])  # seen before: no row is written
+    assert spark.read.parquet(f"{root}/generation=3").count() == 0 and sorted(map(str, read().collect())) == held
+    append([("c", date(2030, 1, 1), None, 99, "k", None)])
+    assert spark.read.parquet(f"{root}/generation=4").count() == 1
+    append([])
+    assert len(spans(read())) > 5

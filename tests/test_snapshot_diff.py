@@ -50,14 +50,27 @@ def test_empty_table_and_single_snapshot(spark):
     assert changes(spark, [("x", date(2025, 1, 1), 1, "b", 1)]) == set()
 
 
-def test_ordinals_are_dense_and_persistent(spark):
-    keys = lambda names: spark.createDataFrame([(n,) for n in names], "k string")
-    first = ordinals(keys(["a", "b", None, "a"]), "k")
-    old = {r.k: r.ordinal for r in first.collect()}
+def test_ordinals_are_dense_and_persistent(spark, tmp_path):
+    keys, at = lambda names: spark.createDataFrame([(n,) for n in names], "_key string"), str(tmp_path / "keys")
+    read = lambda: {r._key: r.ordinal for r in spark.read.parquet(at).collect()}
+    ordinals(keys(["a", "b", None, "a"]), "_key", at)
+    old = read()
     assert sorted(old.values()) == [0, 1]
-    both = {r.k: r.ordinal for r in ordinals(keys(["c", "a", "d"]), "k", first).collect()}
+    ordinals(keys(["c", "a", "d"]), "_key", at)
+    both = read()
     assert {k: both[k] for k in old} == old and sorted(both.values()) == [0, 1, 2, 3]
-    assert changes(spark, [("a", date(2025, 1, 1), 1, "", 1), ("b", date(2025, 1, 2), 1, "", 1)], dictionary=first) == {("a", 2, "removed"), ("b", 2, "added")}
+    ordinals(keys(["c", None]), "_key", at)
+    rows = [("a", date(2025, 1, 1), 1, "", 1), ("b", date(2025, 1, 2), 1, "", 1)]
+    for _ in range(2):  # a second run finds the keys of the first
+        assert changes(spark, rows, dictionary=at) == {("a", 2, "removed"), ("b", 2, "added")} and read() == both
+    assert changes(spark, [*rows, ("e", date(2025, 1, 2), 1, "", 1)], dictionary=at) == {("a", 2, "removed"), ("b", 2, "added"), ("e", 2, "added")}
+    assert read() == both | {"e": 4}
+
+
+def test_nulls_in_different_columns_are_different(spark):
+    d = [date(2025, 1, i) for i in (1, 2)]
+    df = spark.createDataFrame([("x", d[0], None, 5, 1), ("x", d[1], 5, None, 1), ("y", d[0], 5, 5, 1), ("y", d[1], 5, 5, 1)], "k string, day date, a int, b int, seq int")
+    assert [(r.k, r.change_kind) for r in snapshot_changes(df, **HOW).collect()] == [("x", "changed")]
 
 
 row = st.tuples(st.sampled_from(["a", "b", "c", None]), st.sampled_from([date(2025, 1, i) for i in (1, 2, 3)]), st.sampled_from([None, 1, 2]), st.sampled_from([None, "", "x"]), st.integers(1, 3))

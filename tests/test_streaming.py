@@ -1,12 +1,14 @@
+import random
 from datetime import date, datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.clean import monday, utc_day
 from tidemark.operators import rawcache, revlog
 from tidemark.operators.panes import pane_changes, window_corrections
 from tidemark.streaming.ingest import current_states, start_day_states, start_ingestion
-from tidemark.streaming.panes import pane_stream, read_moves, start_moves
+from tidemark.streaming.panes import read_late, read_windows, start_panes
 
 MONDAY = date(2025, 1, 6)
 RECORDS = "k string, day date, at timestamp, seq long, v long"
@@ -16,23 +18,40 @@ def at(days, hours=9):
     return datetime(2025, 1, 6, tzinfo=timezone.utc) + timedelta(days=days, hours=hours)
 
 
-def test_streamed_panes_equal_the_batch_result(spark, tmp_path):
-    batches = [
-        [("a", MONDAY, at(0), 1, 10), ("a", MONDAY + timedelta(1), at(1), 2, 5), ("b", MONDAY, at(1), 3, None), (None, MONDAY, at(1), 4, 1)],
-        [("a", MONDAY, at(9), 5, 12), ("a", MONDAY, at(9), 6, 13), ("b", MONDAY + timedelta(8), at(9), 7, 4)],
-        [("a", MONDAY, at(20), 8, 1), ("a", MONDAY, at(21), 9, 99), ("b", MONDAY + timedelta(8), at(21), 10, 6)],
-    ]
-    source, store, check = (str(tmp_path / n) for n in ("in", "moves", "check"))
-    for rows in batches:
-        spark.createDataFrame(rows, RECORDS).coalesce(1).write.mode("append").parquet(source)
+def brute_windows(rows, size):
+    whole = pane_changes(rows, keys=["k"], item=["day"], pane=monday("day"), arrived_on=utc_day("at"), latest_by=[F.col("at"), F.col("seq")], amount=F.col("v"), cut_off_days=21)
+    return sorted((r.k, r.window_start, r.observed_on, r.total) for r in window_corrections(whole, keys=["k"], size=size).collect())
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_streamed_panes_equal_the_batch_result_in_any_order(spark, tmp_path, seed):
+    r = random.Random(seed)
+    rows = [("a", MONDAY, at(0), 1, 10), (None, MONDAY, at(1), 4, 1), ("a", MONDAY, at(21), 9, 99), ("a", MONDAY, None, 9, 99), ("b", None, at(1), 9, 99)]
+    for seq in range(10, 70):
+        day = r.randint(0, 20)
+        rows.append((r.choice("ab"), MONDAY + timedelta(day), at(day + r.randint(0, 25), r.randint(0, 23)), seq, r.choice([None, 0, 5, 7, 9])))
+    shuffled = r.sample(rows, len(rows))
+    batches = [shuffled[:25], shuffled[25:], rows[:10]]  # late before early, and some again
+    source, store, check = (str(tmp_path / n) for n in ("in", "store", "check"))
+    for batch in batches:
+        spark.createDataFrame(batch, RECORDS).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(RECORDS).parquet(source)
-        moves = pane_stream(stream, keys=["k"], item=F.col("day"), pane=monday("day"), arrived_at=F.col("at"), sequence=F.col("seq"), amount=F.col("v"), cut_off_days=21)
-        start_moves(moves, store=store, checkpoint=check).awaitTermination()
-    found = read_moves(spark.read.parquet(store), ["k"])
-    whole = spark.createDataFrame([r for b in batches for r in b], RECORDS)
-    want = pane_changes(whole, keys=["k"], item=["day"], pane=monday("day"), arrived_on=utc_day("at"), latest_by=[F.col("at"), F.col("seq")], amount=F.col("v"), cut_off_days=21)
-    rows = lambda c: sorted((r.k, r.window_start, r.observed_on, r.total) for r in window_corrections(c, keys=["k"], size=2).collect())
-    assert rows(found) == rows(want) and len(rows(want)) > 5
+        start_panes(
+            stream, keys=["k"], item=["day"], pane=monday("day"), arrived_on=utc_day("at"), latest_by=[F.col("at"), F.col("seq")], amount=F.col("v"), cut_off_days=21, store=store, checkpoint=check, size=2
+        ).awaitTermination()
+    found = sorted((x.k, x.window_start, x.observed_on, x.total) for x in read_windows(spark, store, ["k"]).collect())
+    whole = spark.createDataFrame(rows, RECORDS)
+    assert found == brute_windows(whole, 2) and len(found) > 20
+    late = sum(1 for b in batches for x in b if x[1] and x[2] and (x[2].date() - (x[1] - timedelta(x[1].weekday()))).days >= 21)
+    assert sum(x.n_late for x in read_late(spark, store).collect()) == late
+
+
+def test_a_stream_without_records_in_time(spark, tmp_path):
+    source, store, check = (str(tmp_path / n) for n in ("in", "store", "check"))
+    spark.createDataFrame([("a", MONDAY, at(30), 1, 10)], RECORDS).write.parquet(source)
+    stream = spark.readStream.schema(RECORDS).parquet(source)
+    start_panes(stream, keys=["k"], item=["day"], pane=monday("day"), arrived_on=utc_day("at"), latest_by=[F.col("at")], amount=F.col("v"), cut_off_days=21, store=store, checkpoint=check).awaitTermination()
+    assert read_windows(spark, store, ["k"]).count() == 0
 
 
 RAW = "symbol string, open string, high string, low string, close string, volume long, turnover string, provider_timestamp timestamp, retrieved_at timestamp, provider string, sdk_version string, historical_data_semantics string, provider_payload string"

@@ -32,6 +32,7 @@ from tidemark.session import cut_lineage
 EVENTS_A_PIECE = 100_000
 TWO_BOUND_EVENTS_A_PIECE = 2_000
 LONGEST_CALENDAR = 100_000  # days between the first and the last event
+CUTS_A_TOP = 100
 HOT_ENTITIES = 100_000  # at most so many split entities are broadcast; with more the piece counts are joined by a shuffle
 NO_DATE = -(1 << 40)
 
@@ -111,7 +112,7 @@ def attributes_as_of(
     limit = F.when(F.col("_lane") == BY_TWO_BOUNDS, min(events_a_piece, TWO_BOUND_EVENTS_A_PIECE)).otherwise(events_a_piece)
     counts = asked.groupBy("_entity", "_lane").agg(F.count("*").alias("_n"), F.min("_day").alias("_first"), F.max("_day").alias("_last"))
     pieces = counts.withColumn("_pieces", F.ceil(F.col("_n") / limit).cast("int"))
-    most, first, last = pieces.agg(F.max("_pieces"), F.min("_first"), F.max("_last")).first()
+    most, first, last, lanes = pieces.agg(F.max("_pieces"), F.min("_first"), F.max("_last"), F.sort_array(F.collect_set("_lane"))).first()
     if first is None:
         days = np.zeros(0, dtype=np.int64)
     elif last - first < LONGEST_CALENDAR:
@@ -132,7 +133,7 @@ def attributes_as_of(
         if not hot:
             return df.withColumn("_pieces", F.lit(1)).withColumn("_piece", F.lit(0))
         joined = df.join(split, ["_entity", "_lane"], "left").withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
-        return joined.withColumn("_piece", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(order))), F.lit(0))).drop("_cuts")
+        return joined.withColumn("_piece", _slice_of(F.col(order))).drop("_cuts", "_tops")
 
     key_type = asked.schema["_key"].dataType.simpleString()
     no = lambda kind: F.lit(None).cast(kind)
@@ -147,7 +148,7 @@ def attributes_as_of(
             F.explode(F.array(*[F.struct(F.lit(i).alias("attr"), c.cast("string").alias("value")) for i, c in enumerate(attributes.values())])).alias("_x"),
         )
         .where("_entity IS NOT NULL AND _av IS NOT NULL AND _in IS NOT NULL AND _x.value IS NOT NULL")
-        .withColumn("_lane", F.explode(F.array(F.lit(BY_AVAILABILITY), F.lit(BY_BOTH), F.lit(BY_TWO_BOUNDS))))
+        .withColumn("_lane", F.explode(F.array(*[F.lit(n) for n in lanes]) if lanes else F.array().cast("array<int>")))  # the lanes that events ask for
         .withColumn("_order", F.unix_micros(order))
     )
     history = placed(history, "_order").select(
@@ -183,7 +184,16 @@ def _with_cuts(asked: DataFrame, split: DataFrame, most: int) -> DataFrame:
     cut = asked.join(split, ["_entity", "_lane"]).groupBy("_entity", "_lane", "_pieces").agg(quantiles.alias("_q"))
     own = F.least(F.col("_pieces"), F.lit(fine))
     chosen = F.transform(F.sequence(F.lit(1), own - 1), lambda i: F.get("_q", F.ceil(i * fine / own).cast("int") - 1))
-    return cut.select("_entity", "_lane", "_pieces", F.when(F.col("_lane") != BY_TWO_BOUNDS, F.array_distinct(chosen)).alias("_cuts"))
+    cuts = cut.select("_entity", "_lane", "_pieces", F.when(F.col("_lane") != BY_TWO_BOUNDS, F.array_distinct(chosen)).alias("_cuts"))
+    return cuts.withColumn("_tops", F.filter("_cuts", lambda c, i: i % CUTS_A_TOP == 0))
+
+
+def _slice_of(order: Column) -> Column:
+    """How many cuts are at or before ``order``: among every 100th cut first, then among the 100 that follow the last of those."""
+    upto = lambda cuts: F.size(F.filter(cuts, lambda c: c <= order))
+    top = upto(F.col("_tops"))
+    begin = (top - 1) * CUTS_A_TOP
+    return F.when(F.col("_cuts").isNull() | (top < 1), 0).otherwise(begin + upto(F.slice("_cuts", F.greatest(begin, F.lit(0)) + 1, CUTS_A_TOP)))
 
 
 def _carried(history: DataFrame, days: np.ndarray, width: int) -> DataFrame:
@@ -336,7 +346,9 @@ class _SliceStates(_Merge):
 
     def take(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
-            self.of = dict(zip(zip(*(batch.column(c).to_pylist() for c in GROUP)), batch.column("_pieces").to_pylist())) | ({self.group: self.of[self.group]} if self.group else {})
+            each = pa.Table.from_batches([batch.select([*GROUP, "_pieces"])]).group_by(GROUP).aggregate([("_pieces", "max")])
+            of = dict(zip(zip(*(each.column(c).to_pylist() for c in GROUP)), each.column("_pieces_max").to_pylist()))
+            self.of = of | ({self.group: self.of[self.group]} if self.group else {})
         yield from super().take(batch)
 
     def finish(self) -> Iterator[pa.RecordBatch]:

@@ -2,30 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from hashlib import md5
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.clean import BLANKS, DIGITS, UNKNOWN_TEXTS, WIDE_DIGITS, iso, known_text, monday, number, six_digits, strip, token, utc_day
 from tidemark.functions.normalize import local_day
 from tidemark.operators.asof import attributes_as_of
-from tidemark.operators.history import observed_versions, reconstruct, store, validity
+from tidemark.operators.history import append_history, observed_versions, read_history, reconstruct, validity
 from tidemark.operators.panes import pane_changes, window_corrections
-from tidemark.operators.snapshot_diff import snapshot_changes
+from tidemark.operators.snapshot_diff import ordinals, snapshot_changes
 from tidemark.operators.table_diff import field_differences, paired_leftovers
+from tidemark.session import cut_lineage, drop_stored, shared_path
 from tidemark.sources.tables import table, with_symbol
+from tidemark.streaming.panes import read_windows, start_panes
 
 CUT_OFF_DAYS = 21
 CANONICAL_SOURCE = "longbridge"
 SHARES_A_LOT = 100
+SECOND_DELIVERY = "2025-06-01"
+
+
+def _own(spark: SparkSession, folder: str, name: str) -> str:
+    """A table of this session and data folder in the shared folder."""
+    return shared_path(spark, f"{name}-{md5(folder.encode()).hexdigest()[:12]}")
+
+
+def _deliveries(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "etf_spot_snapshot").withColumn("fund", six_digits("symbol")).withColumn("day", utc_day("snapshot_at"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Funds added, removed or changed in shares or iopv between the consecutive days of etf_spot_snapshot."""
-    rows = table(spark, folder, "etf_spot_snapshot").select(six_digits("symbol").alias("fund"), utc_day("snapshot_at").alias("day"), "shares", "iopv", "ingest_time", "provider_payload_hash")
-    changes = snapshot_changes(rows, key="fund", snapshot="day", values=["shares", "iopv"], latest_by=["ingest_time", "provider_payload_hash"])
+    rows = _deliveries(spark, folder).select("fund", "day", "shares", "iopv", "ingest_time", "provider_payload_hash")
+    changes = snapshot_changes(rows, key="fund", snapshot="day", values=["shares", "iopv"], latest_by=["ingest_time", "provider_payload_hash"], dictionary=_own(spark, folder, "fund-ordinals"))
     return with_symbol(changes, folder).select("symbol", iso("day").alias("snapshot_date"), "change_kind")
 
 
+def p2_ordinals(spark: SparkSession, folder: str) -> DataFrame:
+    """The funds' ordinals after a first and a second delivery of keys: those of the first are kept, the second's follow densely."""
+    keys, at = _deliveries(spark, folder).where("fund IS NOT NULL"), _own(spark, folder, "ordinals-twice")
+    drop_stored(spark, at)
+    first = cut_lineage(ordinals(keys.where(F.col("day") < F.to_date(F.lit(SECOND_DELIVERY))), "fund", at))
+    second = ordinals(keys, "fund", at)
+    n = first.agg(F.count("*").alias("_n"))  # one row
+    both = second.join(first.select("fund", F.col("ordinal").alias("_before")), "fund", "left").join(F.broadcast(n))
+    kept = F.when(F.col("_before").isNotNull(), F.col("_before") == F.col("ordinal")).otherwise(F.col("ordinal") >= F.col("_n"))
+    place = F.row_number().over(Window.orderBy("ordinal")) - 1 == F.col("ordinal")  # one row per fund of the registry
+    return with_symbol(both.select("fund", F.col("_before").isNotNull().alias("in_first"), (kept & place).alias("kept")), folder)
+
+
 def _bar_and_request_events(spark: SparkSession, folder: str) -> DataFrame:
     bars = table(spark, folder, "market_bars").select(
         F.lit("bar").alias("event_kind"), F.col("bar_seq").alias("event_id"), six_digits("symbol").alias("fund"),
@@ -51,8 +79,18 @@ def _known_at_events(spark: SparkSession, folder: str, attributes: dict) -> Data
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The metadata observation known and in effect at each bar and each request."""
-    return _known_at_events(spark, folder, {"meta_seq": F.col("meta_seq")}).withColumn("meta_seq", F.col("meta_seq").cast("long"))
+    """The metadata observation known and in effect at each bar and each request.
+
+    Each attribute's history is matched separately, and what it yields is the place of its observation in the stated order; the
+    observation in force is the latest of the matches. Observations that know none of the attributes have a history too.
+    """
+    known = {"tracking_index": known_text("tracking_index"), "management_fee": F.col("management_fee"), "fund_company": known_text("fund_company")}
+    text = lambda n: F.lpad(n.cast("string"), 20, "0")
+    micros = lambda c: text(F.unix_micros(c) + F.lit(1 << 62))
+    place = F.concat(text(F.coalesce(F.unix_date("effective_from") + F.lit(1 << 31), F.lit(0))), micros("available_time"), micros("ingest_time"), text(F.coalesce("meta_seq", F.lit(0))))
+    attributes = {n: F.when(c.isNotNull(), place) for n, c in known.items()} | {"none": F.when(F.coalesce(*[c.cast("string") for c in known.values()]).isNull(), place)}
+    found = _known_at_events(spark, folder, attributes)
+    return found.select("event_kind", "event_id", F.substring(F.greatest(*attributes), -20, 20).cast("long").alias("meta_seq"))
 
 
 EVENT_ATTRIBUTES = ("tracking_index", "management_fee", "fund_company")
@@ -138,14 +176,18 @@ def p4_bar_revisions(spark: SparkSession, folder: str) -> DataFrame:
     return with_symbol(counts, folder).withColumn("trade_date", iso("trade_date"))
 
 
+def _weekly(rows: DataFrame) -> dict:
+    """The records of the primary source and how their weekly volume is kept, for the batch and the stream."""
+    bars = rows.where(token("source") == CANONICAL_SOURCE)
+    bars = bars.select(six_digits("symbol").alias("fund"), "trade_date", "volume", "ingest_time", "bar_seq", F.coalesce("observed_at", "ingest_time").alias("arrival"))
+    return {
+        "records": bars, "keys": ["fund"], "item": ["trade_date"], "pane": monday("trade_date"), "arrived_on": utc_day("arrival"),
+        "latest_by": [F.col("arrival"), F.col("ingest_time"), F.col("bar_seq")], "amount": F.col("volume"), "cut_off_days": CUT_OFF_DAYS,
+    }
+
+
 def _weekly_changes(spark: SparkSession, folder: str) -> DataFrame:
-    bars = table(spark, folder, "market_bars").where(token("source") == CANONICAL_SOURCE)
-    arrival = F.coalesce("observed_at", "ingest_time")
-    bars = bars.select(six_digits("symbol").alias("fund"), "trade_date", "volume", "ingest_time", "bar_seq", arrival.alias("arrival"))
-    return pane_changes(
-        bars, keys=["fund"], item=["trade_date"], pane=monday("trade_date"), arrived_on=utc_day("arrival"),
-        latest_by=[F.col("arrival"), F.col("ingest_time"), F.col("bar_seq")], amount=F.col("volume"), cut_off_days=CUT_OFF_DAYS,
-    )
+    return pane_changes(**_weekly(table(spark, folder, "market_bars")))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,8 +202,26 @@ def p5_four_weeks(spark: SparkSession, folder: str) -> DataFrame:
     return with_symbol(found, folder).select("symbol", iso("window_start").alias("window_start"), iso("observed_on").alias("observed_on"), F.col("total").cast("long").alias("total"))
 
 
-def _fund_versions(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "etf_metadata_obs").withColumn("fund", six_digits("symbol"))
+STREAM_BATCHES = 3
+
+
+def p5_streamed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as p5_found from a stream of micro-batches in random order, some rows of which are delivered twice."""
+    root = shared_path(spark, f"stream-{uuid4().hex}")
+    rows = table(spark, folder, "market_bars").select("source", "symbol", "trade_date", "volume", "ingest_time", "observed_at", "bar_seq")
+    files = spark.sparkContext.defaultParallelism
+    rows.repartition(files, F.xxhash64("bar_seq")).write.parquet(f"{root}/in")
+    again = spark.read.parquet(f"{root}/in").where(token("source") == CANONICAL_SOURCE).where(F.col("observed_at") > F.col("ingest_time"))
+    again.coalesce(max(1, files // STREAM_BATCHES)).write.mode("append").parquet(f"{root}/in")  # a repeated delivery
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-4 * files // (3 * STREAM_BATCHES))).parquet(f"{root}/in")
+    query = start_panes(**_weekly(stream), store=f"{root}/store", checkpoint=f"{root}/checkpoint", from_day=7)
+    query.awaitTermination()
+    found = read_windows(spark, f"{root}/store", ["fund"])
+    return with_symbol(found, folder).select("symbol", iso("window_start").alias("week_start"), iso("observed_on").alias("observed_on"))
+
+
+def _fund_versions(observations: DataFrame) -> DataFrame:
+    rows = observations.withColumn("fund", six_digits("symbol"))
     index = F.coalesce(six_digits("tracking_index"), known_text("tracking_index"))
     return observed_versions(
         rows, entity="fund", effective_from="effective_from", latest_by=["available_time", "ingest_time", "meta_seq"],
@@ -170,26 +230,34 @@ def _fund_versions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 HISTORY = ["tracking_index", "management_fee"]
+SECOND_APPEND = "2025-06-01"
 
 
-def _fund_history(spark: SparkSession, folder: str) -> DataFrame:
-    stored = store(_fund_versions(spark, folder), entity="fund", attributes=HISTORY)
-    return validity(reconstruct(stored, entity="fund", attributes=HISTORY), entity="fund", attributes=HISTORY)
+def _periods(spark: SparkSession, root: str) -> DataFrame:
+    return validity(reconstruct(read_history(spark, root, "fund"), entity="fund", attributes=HISTORY), entity="fund", attributes=HISTORY)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The validity periods of each fund's tracking index and management fee."""
-    found = with_symbol(_fund_history(spark, folder), folder)
+    """The validity periods of each fund's tracking index and management fee, reconstructed from the stored history."""
+    root = _own(spark, folder, "fund-history")
+    drop_stored(spark, root)
+    append_history(spark, root, _fund_versions(table(spark, folder, "etf_metadata_obs")), entity="fund", attributes=HISTORY)
+    found = with_symbol(_periods(spark, root), folder)
     return found.select("symbol", iso("valid_from").alias("valid_from"), F.coalesce(iso("valid_to"), F.lit("open")).alias("valid_to"))
 
 
 def p6_history(spark: SparkSession, folder: str) -> DataFrame:
-    """The same periods with the attributes that held."""
-    found = with_symbol(_fund_history(spark, folder), folder)
+    """The same periods with the attributes that held, from a history that was appended in two parts, the later stored first."""
+    root, rows = _own(spark, folder, "fund-history-twice"), table(spark, folder, "etf_metadata_obs")
+    drop_stored(spark, root)
+    late = F.coalesce(F.col("ingest_time") >= F.to_timestamp(F.lit(SECOND_APPEND)), F.lit(False))
+    for part in (rows.where(late), rows.where(~late)):
+        append_history(spark, root, _fund_versions(part), entity="fund", attributes=HISTORY)
+    found = with_symbol(_periods(spark, root), folder)
     return found.select("symbol", iso("valid_from").alias("valid_from"), F.coalesce(iso("valid_to"), F.lit("open")).alias("valid_to"), "tracking_index", F.col("management_fee").cast("decimal(38,18)").alias("management_fee"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_attributes, p4_found, p4_result_copies, p4_bar_revisions, p5_found, p5_four_weeks, p6_found, p6_history)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_ordinals, p3_found, p3_attributes, p4_found, p4_result_copies, p4_bar_revisions, p5_found, p5_four_weeks, p5_streamed, p6_found, p6_history)}
 
 
 # --- the same in SQL -------------------------------------------------------------------------------------------------
@@ -412,6 +480,7 @@ _P6_COLUMNS = "symbol, strftime(valid_from, '%Y-%m-%d') AS valid_from, coalesce(
 
 SQL = {
     "p2_found": _P2,
+    "p2_ordinals": f"WITH {_FUNDS}, seen AS (SELECT {sql_digits('symbol')} AS fund, coalesce(bool_or({sql_day('snapshot_at')} < DATE '{SECOND_DELIVERY}'), false) AS in_first FROM etf_spot_snapshot GROUP BY 1) SELECT symbol, in_first, true AS kept FROM seen JOIN funds USING (fund)",
     "p3_found": _p3_sql(["meta_seq"], {"meta_seq": "o.meta_seq"}),
     "p3_attributes": _p3_sql(list(EVENT_ATTRIBUTES), {"tracking_index": sql_digits("o.tracking_index"), "management_fee": "CAST(o.management_fee AS VARCHAR)", "fund_company": sql_known("o.fund_company")}),
     "p4_found": _P4,
@@ -419,6 +488,7 @@ SQL = {
     "p4_bar_revisions": _P4_REVISIONS,
     "p5_found": _P5,
     "p5_four_weeks": _P5_FOUR,
+    "p5_streamed": _P5,
     "p6_found": f"WITH {_P6_PERIODS} SELECT {_P6_COLUMNS} FROM periods JOIN funds USING (fund)",
     "p6_history": f"WITH {_P6_PERIODS} SELECT {_P6_COLUMNS}, idx AS tracking_index, fee AS management_fee FROM periods JOIN funds USING (fund)",
 }

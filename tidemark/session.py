@@ -69,6 +69,13 @@ def stored(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match a pattern, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(s.getPath().toString() for s in found or [])
+
+
 def drop_stored(spark: SparkSession, path: str) -> None:
     """Remove a written table, if there is one."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

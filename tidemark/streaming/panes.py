@@ -1,72 +1,63 @@
-"""Stream slicing on Structured Streaming: corrected totals per window as late records arrive.
+"""Stream slicing on Structured Streaming: corrected totals per window as late records arrive, in any order.
 
-The state is one group per pane: the last record of each of its items and the pane's total. A micro-batch wakes only the panes
-that it changes; each emits by how much its total moved, and the windows that cover it are recomposed from those moves. When
-the watermark passes a pane's cut-off, the pane is forgotten and later records for it are dropped.
+A micro-batch is reduced to the daily items of its panes and added to a store of panes; then the windows that cover a pane of
+the batch are recomposed from the store and emitted again. The store holds maxima, so batches may come in any order, overlap
+or be repeated. The cut-off is a rule on a record's own times and no watermark: nothing depends on which records came first,
+and nothing is dropped in silence. Records beyond the cut-off are counted for each batch and pane.
+
+Layout of the store, all by batch, so that a repeated batch overwrites itself: ``daily/batch=`` daily items in order of
+panes, ``touched/batch=`` windows that the batch recomposed, ``windows/batch=`` their totals, ``late/batch=`` cut-off records.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-MOVES = "pane date, arrived_on date, change long"
-
-
-def pane_stream(records: DataFrame, *, keys: list[str], item: Column, pane: Column, arrived_at: Column, sequence: Column, amount: Column, cut_off_days: int, watermark: str = "0 seconds") -> DataFrame:
-    """A stream of ``(keys, pane, arrived_on, change)`` from a stream of records.
 
-    Records of one micro-batch are taken in order of (arrival, sequence); one that is older than the item's held record
-    changes nothing. Records with a null key, item, pane or arrival are ignored, a null amount counts as 0.
-    """
-    rows = records.select(
-        *keys, pane.alias("pane"), item.cast("string").alias("item"), arrived_at.alias("arrived_at"), F.coalesce(sequence.cast("long"), F.lit(0)).alias("seq"), F.coalesce(amount.cast("long"), F.lit(0)).alias("amount")
-    ).dropna(subset=[*keys, "pane", "item", "arrived_at"])
-    end = F.date_add("pane", cut_off_days).cast("timestamp")
-    rows = rows.withWatermark("arrived_at", watermark).where(F.col("arrived_at") < end).withColumn("until_ms", F.unix_millis(end))
-    shape = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), MOVES])
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+from tidemark.operators.panes import daily_items, in_time, item_changes, merged_items, window_corrections
+from tidemark.session import folders
+
+
+def start_panes(
+    records: DataFrame, *, keys: list[str], item: list[str], pane: Column, arrived_on: Column, latest_by: list[Column], amount: Column, cut_off_days: int,
+    store: str, checkpoint: str, size: int = 1, pane_days: int = 7, from_day: int = 0, available_now: bool = True,
+):
+    """Start a query that keeps the panes of a stream of records; the arguments are those of ``pane_changes`` and ``window_corrections``."""
+    how = {"keys": keys, "item": item, "pane": pane, "arrived_on": arrived_on, "latest_by": latest_by, "amount": amount, "cut_off_days": cut_off_days}
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark, at = batch.sparkSession, lambda part: f"{store}/{part}/batch={number}"
+        daily_items(batch, **how).sortWithinPartitions("pane").write.mode("overwrite").parquet(at("daily"))
+        late = batch.select(pane.alias("pane"), arrived_on.alias("arrived_on")).where(~in_time(F.col("pane"), F.col("arrived_on"), cut_off_days))
+        late.groupBy("pane").agg(F.count("*").alias("n_late")).write.mode("overwrite").parquet(at("late"))
+        windows = spark.read.parquet(at("daily")).select(*keys, F.explode(F.array(*[F.date_sub("pane", i * pane_days) for i in range(size)])).alias("window_start")).distinct()
+        windows.write.mode("overwrite").parquet(at("touched"))
+        touched = spark.read.parquet(at("touched"))
+        first, last = touched.agg(F.min("window_start"), F.max(F.date_add("window_start", (size - 1) * pane_days))).first()
+        if first is None:  # no item was in time
             return
-        held = json.loads(state.get[0]) if state.exists else {}
-        batch = pd.concat(list(parts)).sort_values(["arrived_at", "seq", "amount"], kind="stable")
-        moves: dict = {}
-        for r in batch.itertuples(index=False):
-            rank, before = [r.arrived_at.value, int(r.seq)], held.get(r.item)
-            if before is None or before[:2] <= rank:
-                moves[r.arrived_at.date()] = moves.get(r.arrived_at.date(), 0) + int(r.amount) - (before[2] if before else 0)
-                held[r.item] = [*rank, int(r.amount)]
-        state.update((json.dumps(held),))
-        until = int(batch["until_ms"].iloc[0])
-        if until > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(until)
-        changed = [(*key, day, n) for day, n in sorted(moves.items()) if n]
-        if changed:
-            yield pd.DataFrame(changed, columns=[*keys, "pane", "arrived_on", "change"])
-
-    return rows.groupBy(*keys, "pane").applyInPandasWithState(step, shape, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+        near = read_daily(spark, store, [*keys, *item], F.col("pane").between(first, last)).join(touched.select(*keys).distinct(), keys, "left_semi")
+        totals = window_corrections(item_changes(near, keys=keys, item=item), keys=keys, size=size, pane_days=pane_days, from_day=from_day)
+        totals.join(touched, [*keys, "window_start"], "left_semi").write.mode("overwrite").parquet(at("windows"))
 
+    writer = records.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
-def start_moves(moves: DataFrame, *, store: str, checkpoint: str, available_now: bool = True):
-    """Write the moves of each micro-batch once, as one folder a batch, so that a repeated batch overwrites itself.
 
-    ``read_moves`` gives them to ``operators.panes.window_corrections``, which recomposes the windows.
-    """
+def read_daily(spark: SparkSession, store: str, whole: list[str], panes: Column | None = None) -> DataFrame:
+    """The daily items of all batches; ``panes`` prunes by the statistics of files and row groups."""
+    rows = spark.read.parquet(f"{store}/daily").drop("batch")
+    return merged_items(rows if panes is None else rows.where(panes), whole)
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
 
-    writer = moves.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+def read_windows(spark: SparkSession, store: str, keys: list[str]) -> DataFrame:
+    """``(keys, window_start, observed_on, total)`` as last emitted for each window; empty where nothing came in time."""
+    if not folders(spark, f"{store}/windows/batch=*"):
+        return spark.createDataFrame([], ", ".join([*(f"`{k}` string" for k in keys), "window_start date, observed_on date, total long"]))
+    last = spark.read.parquet(f"{store}/touched").groupBy(*keys, "window_start").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{store}/windows").join(last, [*keys, "window_start", "batch"]).drop("batch")
 
 
-def read_moves(moves_store: DataFrame, keys: list[str]) -> DataFrame:
-    """The moves of all batches, in the form of ``operators.panes.pane_changes``."""
-    return moves_store.groupBy(*keys, "pane", "arrived_on").agg(F.sum("change").alias("change")).where("change <> 0")
+def read_late(spark: SparkSession, store: str) -> DataFrame:
+    """``(pane, n_late)``: records that came after their pane's cut-off, a repeated delivery counted again."""
+    return spark.read.parquet(f"{store}/late").groupBy("pane").agg(F.sum("n_late").alias("n_late"))

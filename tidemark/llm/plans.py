@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.clean import BLANKS, UNKNOWN_TEXTS, iso, six_digits, token, utc_day
-from tidemark.llm.packing import pack
+from tidemark.llm.packing import pack_each
 from tidemark.llm.subjects import subject_posteriors
 from tidemark.llm.survivors import normalised, pivot_back, survivors, trust_votes, unpivot
 from tidemark.llm.tokenizer import round_trips, token_ids, token_sizes
@@ -91,9 +89,12 @@ def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 def _document_packings(spark: SparkSession, folder: str) -> DataFrame:
     """Packings of all documents: one for each profile's capacity alone, and one for all capacities jointly."""
     sizes = cut_lineage(token_sizes(table(spark, folder, "documents")))  # 16 bytes a document; measured once
+    return pack_each(sizes, _packings(spark, folder))
+
+
+def _packings(spark: SparkSession, folder: str) -> dict[str, list[int]]:
     profiles = sorted((p.capacity_tokens, p.profile) for p in table(spark, folder, "pack_profiles").collect())  # fixed, 3 rows
-    plans = [(profile, [capacity]) for capacity, profile in profiles] + [("joint", [capacity for capacity, _ in profiles])]
-    return reduce(DataFrame.unionByName, [pack(sizes, capacities).withColumn("packing", F.lit(name)) for name, capacities in plans])
+    return {profile: [capacity] for capacity, profile in profiles} | {"joint": [capacity for capacity, _ in profiles]}
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,6 +111,23 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p8_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """For each packing the documents placed, and how many break a rule: not every token once, a needless split, a container over its capacity or miscounted."""
+    documents = cut_lineage(token_sizes(table(spark, folder, "documents"))).withColumnRenamed("n_tokens", "size")
+    packings = _packings(spark, folder)
+    placed = pack_each(documents, packings, size_col="size")
+    most = F.element_at(F.create_map(*[F.lit(x) for name, some in packings.items() for x in (name, some[-1])]), F.col("packing"))
+    pieces = placed.groupBy("packing", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("pieces"), F.count_distinct("first_token").alias("starts"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"))
+    each = pieces.join(documents, "doc_id").groupBy("packing").agg(
+        F.count("*").alias("documents"),
+        F.count_if(~((F.col("n_tokens") == F.col("size")) & (F.col("end") == F.col("size")) & (F.col("starts") == F.col("pieces")))).alias("uncovered"),
+        F.count_if((F.col("pieces") > 1) & (F.col("size") <= most)).alias("needlessly_split"),
+    )
+    containers = placed.groupBy("packing", "container_id").agg(F.sum("n_tokens").alias("tokens"), F.min("capacity_tokens").alias("capacity"), F.max("filled_tokens").alias("filled"))
+    wrong = containers.groupBy("packing").agg(F.count_if(F.col("tokens") > F.col("capacity")).alias("overfull"), F.count_if(F.col("tokens") != F.col("filled")).alias("miscounted"))
+    return each.join(wrong, "packing")
+
+
 def _subjects(spark: SparkSession, folder: str) -> DataFrame:
     areas = sorted(r.subject for r in table(spark, folder, "subject_areas").collect())  # fixed, 10 rows
     return subject_posteriors(table(spark, folder, "documents"), table(spark, folder, "subject_labels"), areas)
@@ -127,7 +145,7 @@ def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
     return each.groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.sum(1 / F.col("n")), 6).alias("weighted"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_metadata, p7_ids, p7_round_trip, p8_containers, p8_fill, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_metadata, p7_ids, p7_round_trip, p8_containers, p8_fill, p8_audit, p9_found, p9_composition)}
 
 
 # --- the same in SQL -------------------------------------------------------------------------------------------------
@@ -202,5 +220,6 @@ SQL = {
     "p1_found": _P1_FOUND,
     "p1_records": _P1_RECORDS,
     "p1_metadata": _P1_METADATA,
+    "p8_audit": "SELECT packing, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS uncovered, 0::BIGINT AS needlessly_split, 0::BIGINT AS overfull, 0::BIGINT AS miscounted FROM (SELECT profile AS packing FROM pack_profiles UNION ALL SELECT 'joint')",
     "p7_round_trip": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes, true AS exact FROM documents",
 }

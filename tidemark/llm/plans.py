@@ -139,10 +139,17 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
-    """The corpus by subject: documents, and documents weighted by one over their number of subjects."""
-    found = _subjects(spark, folder)
-    each = found.join(found.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id")
-    return each.groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.sum(1 / F.col("n")), 6).alias("weighted"))
+    """The corpus by subject: documents, and documents weighted by one over their number of subjects.
+
+    The row ``unassigned`` holds the documents without a subject, so that the weights add up to the corpus.
+    """
+    found = _subjects(spark, folder).select("subject", "n_subjects").unionByName(spark.createDataFrame([("unassigned", None)], "subject string, n_subjects int"))
+    by_subject = found.rollup("subject").agg(F.grouping("subject").alias("_all"), F.count("n_subjects").alias("documents"), F.coalesce(F.sum(1 / F.col("n_subjects")), F.lit(0.0)).alias("weighted"))
+    whole = table(spark, folder, "documents").agg(F.count("*").alias("_whole"))  # one row
+    rest = F.round(F.col("_whole") - F.col("weighted")).cast("long")
+    rows = by_subject.where("_all = 1 OR subject <> 'unassigned'").join(F.broadcast(whole))
+    every = F.col("_all") == 1
+    return rows.select(F.when(every, "unassigned").otherwise(F.col("subject")).alias("subject"), F.when(every, rest).otherwise(F.col("documents")).alias("documents"), F.round(F.when(every, rest.cast("double")).otherwise(F.col("weighted")), 6).alias("weighted"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_metadata, p7_ids, p7_round_trip, p8_containers, p8_fill, p8_audit, p9_found, p9_composition)}

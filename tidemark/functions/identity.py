@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from datetime import date
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +28,24 @@ def canonical_time(c: Column | str) -> Column:
     return F.concat(F.date_format(shifted, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
 
 
-def sorted_json(values: dict[str, Column], ascii_only: bool = False) -> Column:
-    """Compact JSON with sorted keys; nulls are kept. Non-ASCII characters are escaped only if asked for."""
-    text = F.to_json(F.struct(*[values[k].alias(k) for k in sorted(values)]), {"ignoreNullFields": "false"})
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _escaped(text)).otherwise(text) if ascii_only else text
+def sorted_json(values: dict[str, Column], ascii_only: bool = False, plain: tuple[str, ...] = ()) -> Column:
+    """Compact JSON with sorted keys; nulls are kept. Non-ASCII characters are escaped only if asked for.
+
+    ``plain`` names values that are ASCII by their making; runs of them are written at once and never looked through.
+    """
+    to_json = lambda names: F.to_json(F.struct(*[values[k].alias(k) for k in names]), {"ignoreNullFields": "false"})
+    if not ascii_only:
+        return to_json(sorted(values))
+    parts = []
+    for is_plain, run in groupby(sorted(values), key=lambda k: k in plain):
+        text = _inside(to_json(list(run)))
+        parts.append(text if is_plain else F.when(text.rlike(r"[^\x00-\x7F]"), _escaped(text)).otherwise(text))
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def _inside(text: Column) -> Column:
+    """A JSON object's text without its braces."""
+    return F.substring(text, F.lit(2), F.length(text) - 2)
 
 
 def _escaped(text: Column) -> Column:
@@ -50,7 +65,7 @@ def value_hash(bar: dict[str, Column] | None = None) -> Column:
     get = (lambda n: bar[n]) if bar else F.col
     numbers = {n: canonical_decimal(get(n)) for n in ("open", "high", "low", "close", "turnover")}
     texts = {"symbol": get("symbol"), "source": get("source"), "trade_date": get("trade_date").cast("string"), "data_time": canonical_time(get("data_time")), "volume": get("volume").cast("long")}
-    return F.sha2(sorted_json(numbers | texts, ascii_only=True), 256)
+    return F.sha2(sorted_json(numbers | texts, ascii_only=True, plain=(*numbers, "trade_date", "data_time", "volume")), 256)
 
 
 def observation_id(hash_of_value: Column | None = None) -> Column:

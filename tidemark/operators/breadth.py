@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.normalize import redundancy_band, structural
+from tidemark.session import bounded_broadcast, cut_lineage
+
+MOST_IN_MATRIX = 2_000  # assets of a matrix on the driver: 32 MB
 
 
 def _rho(a: Column, b: Column) -> Column:
@@ -33,6 +36,15 @@ def pairs(returns: DataFrame, order: DataFrame | None = None) -> DataFrame:
     return left.join(right, "day").where("o1 < o2").select("asset_1", "asset_2", "day", "a", "b")
 
 
+def asked_pairs(returns: DataFrame, asked: DataFrame) -> DataFrame:
+    """``pairs`` of the asked ``(asset_1, asset_2)`` alone, each once whichever way round it is asked: no other pair is ever formed."""
+    low, high = F.least("asset_1", "asset_2"), F.greatest("asset_1", "asset_2")
+    wanted = bounded_broadcast(asked.where("asset_1 <> asset_2").select(low.alias("asset_1"), high.alias("asset_2")).distinct())
+    r = returns.where("ret IS NOT NULL")
+    left = r.select(F.col("asset").alias("asset_1"), "day", F.col("ret").alias("a")).join(wanted, "asset_1")
+    return left.join(r.select(F.col("asset").alias("asset_2"), "day", F.col("ret").alias("b")), ["asset_2", "day"]).select("asset_1", "asset_2", "day", "a", "b")
+
+
 def pair_correlations(returns: DataFrame, frequency: str, order: DataFrame | None = None) -> DataFrame:
     """``(asset_1, asset_2, frequency, start_date, end_date, n_obs, rho, band)``; pairs of fewer than two days have no rho."""
     rho = F.when(F.count("*") >= 2, _rho(F.col("a"), F.col("b")))
@@ -60,7 +72,9 @@ def effective_breadth(returns: DataFrame, n_assets: int) -> DataFrame:
 
 
 def correlation_matrix(pair_rows: DataFrame, assets: list[str]) -> np.ndarray:
-    """The matrix on the driver, for a short list of assets; missing pairs are NaN."""
+    """The matrix on the driver, for at most ``MOST_IN_MATRIX`` assets; missing pairs are NaN."""
+    if len(assets) > MOST_IN_MATRIX:
+        raise ValueError(f"{len(assets)} assets are too many for a matrix on the driver")
     place, m = {a: i for i, a in enumerate(assets)}, np.full((len(assets), len(assets)), np.nan)
     np.fill_diagonal(m, 1.0)
     for r in pair_rows.select("asset_1", "asset_2", "rho").where(F.col("asset_1").isin(assets) & F.col("asset_2").isin(assets)).collect():
@@ -81,8 +95,8 @@ def spectrum(matrix: np.ndarray) -> list[tuple[int, float, float]]:
 _MOMENTS = {"a": ("a",), "b": ("b",), "ab": ("a", "b"), "aa": ("a", "a"), "bb": ("b", "b")}
 
 
-def rolling_correlations(returns: DataFrame, window: int, order: DataFrame | None = None) -> DataFrame:
-    """``(asset_1, asset_2, day, rho)`` over the last ``window`` common rows of each pair; full windows only.
+def rolling_correlations(pair_rows: DataFrame, window: int) -> DataFrame:
+    """``(asset_1, asset_2, day, rho)`` over the last ``window`` rows of each pair of ``pairs`` or ``asked_pairs``; full windows only.
 
     The cost of a row does not grow with the window: rows are cut into blocks of ``window``, and a window's moments are the
     running sum of its block so far plus the running sum, from the other end, of the rest of the block before. Nothing is
@@ -90,7 +104,7 @@ def rolling_correlations(returns: DataFrame, window: int, order: DataFrame | Non
     """
     pair = ["asset_1", "asset_2"]
     by_day = Window.partitionBy(*pair).orderBy("day")
-    rows = pairs(returns, order).withColumn("_i", F.row_number().over(by_day) - 1).withColumn("_block", F.expr(f"_i div {window}"))
+    rows = pair_rows.withColumn("_i", F.row_number().over(by_day) - 1).withColumn("_block", F.expr(f"_i div {window}"))
     rows = rows.select(*pair, "day", "_i", "_block", *[(F.col(m[0]) * F.col(m[1]) if len(m) > 1 else F.col(m[0])).alias(f"m_{n}") for n, m in _MOMENTS.items()])
     ahead = Window.partitionBy(*pair, "_block").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     back = Window.partitionBy(*pair, "_block").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, 0)
@@ -106,7 +120,7 @@ def rolling_correlations(returns: DataFrame, window: int, order: DataFrame | Non
     return t.select(*pair, "day", F.when(~F.isnan(rho), rho).alias("rho"))
 
 
-def rolling_statistics(returns: DataFrame, asked: DataFrame, windows: list[int], order: DataFrame | None = None) -> DataFrame:
+def rolling_statistics(returns: DataFrame, asked: DataFrame, windows: list[int]) -> DataFrame:
     """Distribution of rolling correlations of the asked pairs ``(asset_1, asset_2)``, in either orientation.
 
     Status is UNAVAILABLE if an asset has no returns, SKIPPED_SHORT_HISTORY without a full window, else OK.
@@ -114,9 +128,9 @@ def rolling_statistics(returns: DataFrame, asked: DataFrame, windows: list[int],
     have = returns.select("asset").distinct()
     known = asked.join(have.select(F.col("asset").alias("asset_1"), F.lit(True).alias("h1")), "asset_1", "left").join(have.select(F.col("asset").alias("asset_2"), F.lit(True).alias("h2")), "asset_2", "left")
     every = known.crossJoin(asked.sparkSession.createDataFrame([(w,) for w in windows], "window int"))  # a literal list of windows
-    parts = None
+    parts, rows = None, cut_lineage(asked_pairs(returns, asked))  # once for all windows
     for w in windows:
-        r = rolling_correlations(returns, w, order).where("rho IS NOT NULL")
+        r = rolling_correlations(rows, w).where("rho IS NOT NULL")
         s = r.groupBy(F.least("asset_1", "asset_2").alias("low"), F.greatest("asset_1", "asset_2").alias("high")).agg(
             F.count("*").alias("n_windows"), F.min("day").alias("first_window_end"), F.max("day").alias("last_window_end"), F.median("rho").alias("median"),
             F.percentile("rho", F.lit(0.1)).alias("p10"), F.percentile("rho", F.lit(0.9)).alias("p90"), F.min("rho").alias("min"), F.max("rho").alias("max"), F.max_by("rho", "day").alias("latest"),
@@ -129,7 +143,7 @@ def rolling_statistics(returns: DataFrame, asked: DataFrame, windows: list[int],
 
 def rolling_breadth(returns: DataFrame, n_assets: int, window: int) -> DataFrame:
     """``(day, effective_n)`` over the last ``window`` rows of the common window: one pass over the pairs."""
-    r = rolling_correlations(common_window(returns, n_assets), window)
+    r = rolling_correlations(pairs(common_window(returns, n_assets)), window)
     n = float(n_assets)
     whole = F.count("rho") == n_assets * (n_assets - 1) // 2
     return r.groupBy("day").agg(F.when(whole, F.lit(n * n) / (F.lit(n) + 2 * F.sum(F.col("rho") * F.col("rho")))).alias("effective_n"))

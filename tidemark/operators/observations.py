@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import date
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.clean import utc_day
-from tidemark.functions.normalize import local_day
+from tidemark.functions.normalize import plus_seconds, session_close, session_open
 from tidemark.operators.revlog import SYSTEM_REPLAY
+from tidemark.session import cut_lineage, stored
 
 #: Classes of observations that prove nothing before their own snapshot.
 SNAPSHOT_CLASSES = ("snapshot_only", "forward_collected_pit")
@@ -67,14 +72,19 @@ def metadata_as_of(rows: DataFrame, *, as_of: Column, mode: str, source: str | N
     return latest_by(known, [key], METADATA_ORDER, ("provider_payload_hash",))
 
 
-def index_as_of(rows: DataFrame, *, as_of: Column, day: Column, mode: str, research_cutoff: Column | None = None) -> DataFrame:
-    """The latest eligible index description; the effective period is judged on the caller's day."""
-    return latest_by(eligible(rows, as_of=as_of, mode=mode, research_cutoff=research_cutoff, day=day), ["index_code"], ("available_time", "ingest_time"))
+def index_as_of(rows: DataFrame, *, as_of: Column, day: Column, mode: str, research_cutoff: Column | None = None, codes: list[str] | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The latest eligible description of each index (of ``codes``, if given); the effective period is judged on the caller's day."""
+    asked = rows if codes is None else rows.where(F.col("index_code").isin(*codes))
+    return latest_by(eligible(asked, as_of=as_of, mode=mode, research_cutoff=research_cutoff, day=day), ["index_code"], ("available_time", "ingest_time"), ties)
 
 
-def calendar_as_of(rows: DataFrame, *, as_of: Column, mode: str, research_cutoff: Column | None = None, half_days: str = "keep") -> DataFrame:
-    """Each market's latest known entry per day. ``half_days`` may be ``keep`` or ``refuse``, which raises on one."""
+def calendar_as_of(rows: DataFrame, *, as_of: Column, mode: str, research_cutoff: Column | None = None, half_days: str = "keep", start: date | None = None, end: date | None = None) -> DataFrame:
+    """Each market's latest known entry per day from ``start`` to ``end``. ``half_days`` may be ``keep`` or ``refuse``, which raises on one."""
     known = F.col("available_time") <= as_of
+    if start is not None:
+        known &= F.col("trade_date") >= F.lit(start)
+    if end is not None:
+        known &= F.col("trade_date") <= F.lit(end)
     if mode == SYSTEM_REPLAY:
         known &= F.col("ingest_time") <= as_of
     if research_cutoff is not None:
@@ -85,5 +95,82 @@ def calendar_as_of(rows: DataFrame, *, as_of: Column, mode: str, research_cutoff
     return days
 
 
-def trading_day(ts: Column | str) -> Column:
-    return local_day(ts)
+# --- stores ---
+
+def append_once(incoming: DataFrame, root: str, key: str) -> int:
+    """Append the rows whose key is not stored at ``root`` yet; how many there were. One writer is assumed."""
+    spark = incoming.sparkSession
+    existing = spark.read.parquet(root) if stored(spark, root) else None
+    fresh = cut_lineage(insert_once(existing, incoming, key))
+    inserted = fresh.count()
+    if inserted or existing is None:
+        fresh.write.mode("append").parquet(root)
+    return inserted
+
+
+def calendar_observations(days: DataFrame, version: str = "v1") -> DataFrame:
+    """Observations from a provider's trading days ``(market, trade_date, is_half_day, provider, retrieved_at)``.
+
+    An open day is known from its session's close. Half days close at an unverified time, so one of them is an error.
+    """
+    verified = F.when(F.coalesce("is_half_day", F.lit(False)), F.raise_error(F.lit("half-day session times are unverified"))).otherwise(F.lit(False)).cast("boolean")
+    return days.select(
+        "market", "trade_date", F.lit(True).alias("is_open"), session_open("trade_date").alias("session_open"), session_close("trade_date").alias("session_close"), verified.alias("is_half_day"),
+        session_close("trade_date").alias("available_time"), F.col("retrieved_at").alias("ingest_time"), F.col("provider").alias("source"),
+        F.lit("historical_latest").alias("historical_data_semantics"), F.lit(f"historical_calendar_session_close_{version}").alias("availability_policy_id"),
+    )
+
+
+def cut_offs(calendar: DataFrame, delay_seconds: int = 900) -> DataFrame:
+    """``(trade_date, cut_off)`` from each day's own close."""
+    return calendar.where("is_open").select("trade_date", plus_seconds("session_close", delay_seconds).alias("cut_off"))
+
+
+def encoded(rows: DataFrame, columns: list[str]) -> Column:
+    """The columns as one JSON payload, nulls kept; times and dates as text, decimals exact."""
+    plain = [F.col(c).cast("string").alias(c) if rows.schema[c].dataType.typeName() in ("decimal", "date") else F.col(c) for c in columns]
+    return F.to_json(F.struct(*plain), {"ignoreNullFields": "false"})
+
+
+def decoded(payload: Column | str, types: dict[str, str], defaults: dict[str, Column] | None = None) -> list[Column]:
+    """The columns of a JSON payload by their types; a missing key or a null has its default, or is null."""
+    content = F.from_json(payload, ", ".join(f"`{n}` {t}" for n, t in types.items()))
+    return [F.coalesce(content[n], *([defaults[n]] if n in (defaults or {}) else [])).alias(n) for n in types]
+
+
+def _reversed(first: str, last: str) -> Column:
+    return F.coalesce(F.col(last) < F.col(first), F.lit(False))
+
+
+def _blank(*columns: str) -> Column:
+    return reduce(or_, [F.coalesce(F.trim(c), F.lit("")) == "" for c in columns])
+
+
+def _unsnapped() -> Column:
+    return F.coalesce(F.lower("availability_class").isin(*SNAPSHOT_CLASSES), F.lit(False)) & F.col("snapshot_at").isNull()
+
+
+def metadata_rules() -> dict[str, Column]:
+    """The invariants of a metadata observation, each as the condition of its violation."""
+    numbers = [F.coalesce(F.col(c) < 0, F.lit(False)) for c in ("price_limit_pct", "management_fee", "nav", "iopv", "shares", "aum")]
+    return {
+        "empty_identifier": _blank("symbol", "source", "provider_payload_hash"), "missing_time": F.col("available_time").isNull() | F.col("ingest_time").isNull(),
+        "delisted_before_listed": _reversed("list_date", "delist_date"), "ends_before_start": _reversed("effective_from", "effective_to"),
+        "snapshot_missing": _unsnapped(), "negative_number": reduce(or_, numbers),
+    }
+
+
+def index_rules() -> dict[str, Column]:
+    """The invariants of an index description."""
+    return {
+        "empty_identifier": _blank("index_code", "source"), "missing_time": F.col("available_time").isNull() | F.col("ingest_time").isNull(),
+        "ends_before_start": _reversed("effective_from", "effective_to"), "snapshot_missing": _unsnapped(),
+    }
+
+
+def calendar_rules() -> dict[str, Column]:
+    """The invariants of a calendar observation."""
+    return {
+        "empty_identifier": _blank("market", "source", "availability_policy_id"), "missing_time": F.col("available_time").isNull() | F.col("ingest_time").isNull(),
+        "open_without_session": F.coalesce("is_open", F.lit(False)) & (F.col("session_open").isNull() | F.col("session_close").isNull()),
+    }

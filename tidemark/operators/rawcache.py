@@ -40,10 +40,19 @@ def day_states(raw: DataFrame, key: str = "symbol", delay_seconds: int = 900, ex
     return rows.groupBy(key, "trade_date").agg(F.when(F.bool_or(final), FINALIZED).otherwise(PROVISIONAL).alias("state"), F.count("*").alias("n_records"))
 
 
-def finalized_records(raw: DataFrame, key: str = "symbol", delay_seconds: int = 900) -> DataFrame:
-    """The records of finalized days that were themselves retrieved after the cut-off."""
+def finalized_records(raw: DataFrame, key: str = "symbol", delay_seconds: int = 900, *, cut_offs: DataFrame | None = None, states: DataFrame | None = None) -> DataFrame:
+    """The records of finalized days that were themselves retrieved at or after their day's cut-off.
+
+    ``cut_offs (trade_date, cut_off)`` gives each day's own cut-off, and days without one have no record; without it every day
+    closes at the regular time. ``states`` is the manifest of days; days that it does not call finalized have no record.
+    """
     dated = raw.withColumn("trade_date", local_day("provider_timestamp"))
-    return dated.where(F.col("retrieved_at") >= plus_seconds(session_close(F.col("trade_date")), delay_seconds))
+    if cut_offs is None:
+        found = dated.where(F.col("retrieved_at") >= plus_seconds(session_close(F.col("trade_date")), delay_seconds))
+    else:
+        days = F.broadcast(cut_offs.groupBy("trade_date").agg(F.max("cut_off").alias("_cut_off")))  # bounded by the calendar
+        found = dated.join(days, "trade_date").where(F.col("retrieved_at") >= F.col("_cut_off")).drop("_cut_off")
+    return found if states is None else found.join(states.where(F.col("state") == FINALIZED).select(key, "trade_date"), [key, "trade_date"], "left_semi")
 
 
 def missing_days(expected: DataFrame, states: DataFrame, key: str = "symbol") -> DataFrame:

@@ -7,15 +7,20 @@ months they touch. A single writer is assumed.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from datetime import date, datetime
 from functools import reduce
 
+import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.identity import with_bar_ids
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, folders
 
 ECONOMIC, SYSTEM_REPLAY = "economic", "system_replay"
 SCHEMA_VERSION = 3
@@ -55,20 +60,41 @@ def schema_version(columns: list[str]) -> int:
     raise SchemaError(f"unknown columns {sorted(have)}")
 
 
-def month_folders(spark: SparkSession, root: str) -> list[str]:
-    """The ``year=/month=`` folders of a log; none where there is no log yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/year=*/month=*")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(s.getPath().toString() for s in found or [])
+def month_folders(spark: SparkSession, root: str, first: int | None = None, last: int | None = None) -> list[str]:
+    """The ``year=/month=`` folders of a log, of the months ``12 * year + month`` asked for; none where there is no log yet."""
+    found = folders(spark, f"{root}/year=*/month=*")
+    number = lambda f: 12 * int(f.split("year=")[1].split("/")[0]) + int(f.rsplit("month=", 1)[1])
+    return [f for f in found if (first is None or number(f) >= first) and (last is None or number(f) <= last)]
 
 
-def schema_versions(spark: SparkSession, root: str) -> dict[str, int]:
-    """The version of every month folder, from file footers."""
-    return {f: schema_version(spark.read.parquet(f).columns) for f in month_folders(spark, root)}
+def schema_versions(spark: SparkSession, root: str, first: int | None = None, last: int | None = None) -> dict[str, list[int]]:
+    """The versions of the files of every month folder, from the footers of all files, read by the executors.
 
-
-def require_current(spark: SparkSession, root: str) -> None:
-    old = {f: v for f, v in schema_versions(spark, root).items() if v != SCHEMA_VERSION}
+    A folder of 0 versions is empty; one of several is mixed. Columns that are no known version raise.
+    """
+    files = [p for f in month_folders(spark, root, first, last) for p in folders(spark, f"{f}/*.parquet")]
+    if not files:
+        return {}
+
+    def footers(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for path in part.path:
+                system, at = FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                rows.append((path, ",".join(pq.read_schema(at, filesystem=system).names)))
+            yield pd.DataFrame(rows, columns=["path", "names"])
+
+    slices = min(len(files), 4 * spark.sparkContext.defaultParallelism)
+    read = spark.createDataFrame([(f,) for f in files], "path string").repartition(slices).mapInPandas(footers, "path string, names string")
+    seen = read.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "names").distinct().collect()  # a few kinds a month
+    found: dict[str, set[int]] = {}
+    for row in seen:
+        found.setdefault(row.folder, set()).add(schema_version(row.names.split(",")))
+    return {f: sorted(v) for f, v in sorted(found.items())}
+
+
+def require_current(spark: SparkSession, root: str, first: int | None = None, last: int | None = None) -> None:
+    old = {f: v for f, v in schema_versions(spark, root, first, last).items() if v != [SCHEMA_VERSION]}
     if old:
         raise SchemaError(f"migrate first: {old}")
 
@@ -79,7 +105,7 @@ def read_log(spark: SparkSession, root: str, start: date | None = None, end: dat
     """The log, months outside ``start`` to ``end`` pruned; empty where there is none."""
     if not month_folders(spark, root):
         return spark.createDataFrame([], LOG_SCHEMA)
-    require_current(spark, root)
+    require_current(spark, root, start and start.year * 12 + start.month, end and end.year * 12 + end.month)
     schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in LOG_SCHEMA.fields], T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())])
     log, month = spark.read.schema(schema).parquet(root), F.col("year") * 12 + F.col("month")
     if start:
@@ -206,11 +232,17 @@ def migrated(rows: DataFrame) -> DataFrame:
 
 
 def migrate(spark: SparkSession, root: str) -> int:
-    """Rewrite every month of an older version; the number of rows that were rewritten."""
-    old = [f for f, v in schema_versions(spark, root).items() if v != SCHEMA_VERSION]
+    """Rewrite every month that has files of an older version; the number of rows that were rewritten."""
+    old = {f: v for f, v in schema_versions(spark, root).items() if v != [SCHEMA_VERSION]}
     if not old:
         return 0
-    rows = reduce(DataFrame.unionByName, [migrated(spark.read.parquet(f)) for f in old])
-    rows = cut_lineage(merge_revisions(None, rows))
+    files = [(p, f) for f in old for p in folders(spark, f"{f}/*.parquet")]
+    parts = []
+    for f, versions in old.items():
+        for p in [p for p, own in files if own == f] if len(versions) > 1 else [f]:
+            rows = spark.read.parquet(p)
+            current = schema_version(rows.columns) == SCHEMA_VERSION
+            parts.append(rows.select(*[c.name for c in LOG_SCHEMA.fields]) if current else migrated(rows))
+    rows = cut_lineage(merge_revisions(None, reduce(DataFrame.unionByName, parts)))
     _write_months(rows, root)
     return rows.count()

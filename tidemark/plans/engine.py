@@ -55,11 +55,13 @@ def bar_violations(spark, folder):
 
 
 def bar_log_months(spark, folder):
-    """Rows submitted to each month of the log, and revisions stored once."""
-    rows = table(spark, folder, "market_bars").withColumn("historical_data_semantics", F.lit("historical_latest"))
+    """Rows submitted to each month of the log, revisions stored once, and ids that a merge refuses, as they come with two semantics."""
+    rows = table(spark, folder, "market_bars")
     month = lambda df, name: df.groupBy(F.year("trade_date").alias("year"), F.month("trade_date").alias("month")).agg(F.count("*").alias(name))
-    stored = revlog.merge_revisions(None, rows)
-    return month(rows, "submitted").join(month(stored, "stored"), ["year", "month"])
+    conflicts = rows.groupBy("observation_id").agg(F.first("trade_date").alias("trade_date"), F.count_distinct("historical_data_semantics").alias("_n")).where("_n > 1")
+    stored = revlog.merge_revisions(None, rows.join(conflicts.select("observation_id"), "observation_id", "left_anti"))
+    months = month(rows, "submitted").join(month(stored, "stored"), ["year", "month"]).join(month(conflicts, "refused"), ["year", "month"], "left")
+    return months.withColumn("refused", F.coalesce("refused", F.lit(0)))
 
 
 def bar_revisions(spark, folder):
@@ -158,11 +160,26 @@ def metadata_sources(spark, folder):
 RESOLVED_FIELDS = ("tracking_index", "list_date", "fund_name", "fund_company", "management_fee", "nav", "iopv", "shares", "aum")
 
 
-def _resolved(spark, folder):
+NUMBER_FIELDS = ("price_limit_pct", "management_fee", "nav", "iopv", "shares", "aum")
+#: All fields of an observation that can be resolved, with their policy: the sources in order, and the greatest age.
+SPOT, SCALE = "akshare:fund_etf_spot_em", "akshare:fund_etf_scale_szse"
+WHOLE_POLICY = [
+    (field, source, rank, age)
+    for fields, age, order in (
+        (("tracking_index", "list_date", "delist_date", "market_timezone", "asset_class"), None, (SPOT, SCALE)),
+        (("trading_cycle", "settlement_cycle", "price_limit_pct", "contract_liquidation_rule", "fund_type", "management_fee", "fund_name", "fund_company"), 31_536_000, (SCALE, SPOT)),
+        (("nav", "iopv"), 259_200, (SPOT, SCALE)), (("shares", "aum"), 2_678_400, (SCALE, SPOT)),
+    )
+    for field in fields for rank, source in enumerate(order, 1)
+]
+WHOLE_FIELDS = tuple(sorted({field for field, *_ in WHOLE_POLICY}))
+
+
+def _resolved(spark, folder, names=RESOLVED_FIELDS, policy=None):
     rows = observations.eligible(_metadata(spark, folder), as_of=_instant(), mode=revlog.ECONOMIC)
-    number_fields = ("management_fee", "nav", "iopv", "shares", "aum")
-    fields = {f: canonical_decimal(f) if f in number_fields else F.coalesce(six_digits(f), known_text(f)) if f == "tracking_index" else known_text(F.col(f).cast("string")) for f in RESOLVED_FIELDS}
-    policy = table(spark, folder, "resolution_policy").withColumn("source", token("source")).withColumn("conflict_policy", F.when(F.col("max_age_seconds").isNull(), resolve.REQUIRE_AGREEMENT).otherwise(resolve.PRECEDENCE))
+    fields = {f: canonical_decimal(f) if f in NUMBER_FIELDS else F.coalesce(six_digits(f), known_text(f)) if f == "tracking_index" else known_text(F.col(f).cast("string")) for f in names}
+    policy = table(spark, folder, "resolution_policy") if policy is None else policy
+    policy = policy.withColumn("source", token("source")).withColumn("conflict_policy", F.when(F.col("max_age_seconds").isNull(), resolve.REQUIRE_AGREEMENT).otherwise(resolve.PRECEDENCE))
     values = resolve.unpivot_known(rows, fields, ["fund", "source", *observations.METADATA_ORDER, "provider_payload_hash"])
     return resolve.resolve(resolve.latest_per_source(values, ["fund"]), policy, ["fund"], as_of=_instant())
 
@@ -172,6 +189,12 @@ def metadata_resolved(spark, folder):
     return with_symbol(_resolved(spark, folder).select("fund", "field_name", "status", "value", "source", "freshness"), folder)
 
 
+def metadata_resolved_whole(spark, folder):
+    """Every fund and all 17 fields resolved by a policy of the engine's own."""
+    policy = spark.createDataFrame(WHOLE_POLICY, "field_name string, source string, precedence_rank int, max_age_seconds long")
+    return with_symbol(_resolved(spark, folder, WHOLE_FIELDS, policy).select("fund", "field_name", "status", "value", "source", "freshness"), folder)
+
+
 def metadata_resolved_json(spark, folder):
     """The resolution of each fund as one JSON text."""
     return with_symbol(resolve.as_json(_resolved(spark, folder), ["fund"]), folder)
@@ -287,9 +310,11 @@ def effective_breadth(spark, folder):
     return _rounded(breadth.effective_breadth(returns.daily_returns(_order_levels(spark, folder)), N_ORDER_ASSETS), "effective_n", "ratio")
 
 
+LINE_ASSETS = ["AF", "AO", "NF", "NO", "RF", "RO", "ZZ"]  # all that the levels may have, and one without levels
+
+
 def _line_pairs(spark):
-    names = ["AF", "NF", "NO", "RF", "ZZ"]
-    return spark.createDataFrame(breadth.focus_pairs([("RF", "AF")], "NO", names), "asset_1 string, asset_2 string")
+    return spark.createDataFrame(breadth.focus_pairs([("RF", "AF")], "NO", LINE_ASSETS), "asset_1 string, asset_2 string")
 
 
 def rolling_pairs(spark, folder):
@@ -321,11 +346,17 @@ def eigenvalues(spark, folder):
     return spark.createDataFrame(breadth.spectrum(_order_matrix(spark, folder)[1]), "rank int, eigenvalue double, share double")
 
 
+def eigenvalue_powers(spark, folder):
+    """The sums of the powers of the eigenvalues, which determine them."""
+    values = [v for _, v, _ in breadth.spectrum(_order_matrix(spark, folder)[1])]
+    return spark.createDataFrame([(k, round(sum(v**k for v in values), 6)) for k in range(1, len(values) + 1)], "power int, total double")
+
+
 def asset_clusters(spark, folder):
     """Average-linkage merges of the assets by correlation distance, with the members of each."""
     assets, matrix = _order_matrix(spark, folder)
     merges = cluster.average_linkage(cluster.distances(matrix))
-    rows = [(i + 1, a, b, d, n, "|".join(m)) for i, ((a, b, d, n), m) in enumerate(zip(merges, cluster.members(merges, assets)))]
+    rows = [(i + 1, a, b, round(d, 9), n, "|".join(m)) for i, ((a, b, d, n), m) in enumerate(zip(merges, cluster.members(merges, assets)))]
     return spark.createDataFrame(rows, "step int, left_id int, right_id int, distance double, size int, members string")
 
 
@@ -333,9 +364,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         bars_economic, bars_replay, bar_ids, bar_violations, bar_log_months, bar_revisions, provisional_bars, calendar_days, raw_day_states, raw_missing_ranges, raw_records, bars_reconciled,
-        metadata_economic, metadata_replay, metadata_cutoff, metadata_stored, metadata_sources, metadata_resolved, metadata_resolved_json, unknown_sources, metadata_overlaps, instruments_normalized,
+        metadata_economic, metadata_replay, metadata_cutoff, metadata_stored, metadata_sources, metadata_resolved, metadata_resolved_whole, metadata_resolved_json, unknown_sources, metadata_overlaps, instruments_normalized,
         fund_sets, broken_references, event_bars, event_payloads, part_coverage, daily_returns, weekly_returns, level_warnings, series_coverage, pair_correlations, common_days, effective_breadth,
-        rolling_pairs, rolling_breadth, redundant_pairs, eigenvalues, asset_clusters,
+        rolling_pairs, rolling_breadth, redundant_pairs, eigenvalues, eigenvalue_powers, asset_clusters,
     )
 }
 
@@ -425,24 +456,25 @@ def _sql_metadata(**how) -> str:
     return f"WITH {_META}, {_sql_eligible(**how)} SELECT f.symbol, source, meta_seq FROM eligible JOIN funds f USING (fund) QUALIFY row_number() OVER (PARTITION BY fund, source ORDER BY {_META_ORDER}, meta_seq DESC) = 1"
 
 
-_RESOLVED_VALUES = " UNION ALL ".join(
-    f"SELECT fund, source, '{f}' AS field_name, "
-    + (f"CASE WHEN {f} IS NOT NULL THEN {_DEC(f)} END" if f in ("management_fee", "nav", "iopv", "shares", "aum") else f"coalesce({sql_digits(f)}, {sql_known(f)})" if f == "tracking_index" else sql_known(f"CAST({f} AS VARCHAR)"))
-    + " AS value, effective_from, snapshot_at, available_time, ingest_time, provider_payload_hash FROM eligible"
-    for f in RESOLVED_FIELDS
-)
-_RESOLVED = f"""
+def _sql_values(fields) -> str:
+    value = lambda f: f"CASE WHEN {f} IS NOT NULL THEN {_DEC(f)} END" if f in NUMBER_FIELDS else f"coalesce({sql_digits(f)}, {sql_known(f)})" if f == "tracking_index" else sql_known(f"CAST({f} AS VARCHAR)")
+    return " UNION ALL ".join(f"SELECT fund, source, '{f}' AS field_name, {value(f)} AS value, effective_from, snapshot_at, available_time, ingest_time, provider_payload_hash FROM eligible" for f in fields)
+
+
+def _sql_resolved(fields, policy: str) -> str:
+    return f"""
 WITH {_META}, {_sql_eligible()},
-vals AS ({_RESOLVED_VALUES}),
+policy AS ({policy}),
+vals AS ({_sql_values(fields)}),
 ranked AS (SELECT *, rank() OVER (PARTITION BY fund, source, field_name ORDER BY effective_from DESC NULLS LAST, snapshot_at DESC NULLS LAST, available_time DESC NULLS LAST, ingest_time DESC NULLS LAST) AS r FROM vals WHERE value IS NOT NULL),
 latest AS (
   SELECT fund, source, field_name, arg_max(value, provider_payload_hash) AS value, count(DISTINCT value) > 1 AS ambiguous, max(coalesce(snapshot_at, available_time)) AS seen_at FROM ranked WHERE r = 1 GROUP BY ALL
 ),
 judged AS (
   SELECT l.*, p.precedence_rank, p.max_age_seconds, CASE WHEN p.max_age_seconds IS NULL THEN 'NOT_APPLICABLE' WHEN epoch_us({SQL_AS_OF}) - epoch_us(l.seen_at) <= p.max_age_seconds * 1000000 THEN 'FRESH' ELSE 'EXPIRED' END AS freshness
-  FROM latest l JOIN resolution_policy p ON p.field_name = l.field_name AND {sql_token('p.source')} = l.source
+  FROM latest l JOIN policy p ON p.field_name = l.field_name AND {sql_token('p.source')} = l.source
 ),
-asked AS (SELECT fund, field_name, bool_or(p.max_age_seconds IS NULL) AS agree FROM (SELECT DISTINCT fund FROM latest) CROSS JOIN resolution_policy p GROUP BY ALL),
+asked AS (SELECT fund, field_name, bool_or(p.max_age_seconds IS NULL) AS agree FROM (SELECT DISTINCT fund FROM latest) CROSS JOIN policy p GROUP BY ALL),
 decided AS (
   SELECT a.fund, a.field_name, a.agree, count(j.fund) AS n, coalesce(bool_or(j.ambiguous), false) AS ambiguous, count(*) FILTER (WHERE j.freshness <> 'EXPIRED') AS n_fresh, count(DISTINCT j.value) AS n_values,
     count(DISTINCT j.value) FILTER (WHERE j.freshness <> 'EXPIRED') AS n_fresh_values,
@@ -453,6 +485,9 @@ marked AS (SELECT *, CASE WHEN n = 0 THEN 'UNKNOWN' WHEN ambiguous THEN 'AMBIGUO
 won AS (SELECT *, CASE WHEN status = 'RESOLVED' THEN first_fresh WHEN status = 'STALE' AND NOT (agree AND n_values > 1) THEN first_any END AS w FROM marked)
 SELECT symbol, field_name, status, w.value AS value, w.source AS source, CASE WHEN status = 'STALE' THEN 'EXPIRED' ELSE w.freshness END AS freshness FROM won JOIN funds USING (fund)"""
 
+
+_RESOLVED = _sql_resolved(RESOLVED_FIELDS, "SELECT * FROM resolution_policy")
+_WHOLE_POLICY = "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{source}', {rank}, {'NULL::BIGINT' if age is None else age})" for f, source, rank, age in WHOLE_POLICY) + ") v(field_name, source, precedence_rank, max_age_seconds)"
 _REASON = """CASE WHEN status = 'UNKNOWN' THEN 'no known value from any source' WHEN status = 'CONFLICT' THEN 'fresh sources that must agree disagree'
   WHEN status = 'STALE' AND w IS NULL THEN 'all candidates are stale and disagree' WHEN status = 'STALE' THEN 'all candidates are stale; the first source''s value is kept'
   WHEN status = 'AMBIGUOUS' THEN 'a source''s latest rows disagree' WHEN w.precedence_rank = 1 THEN 'first source' ELSE 'fallback to a later source' END
@@ -490,7 +525,7 @@ def _sql_rolling(source: str, window: int) -> str:
     FROM {source} a JOIN {source} b ON a.day = b.day AND a.asset < b.asset WINDOW w AS (PARTITION BY a.asset, b.asset ORDER BY a.day ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)) WHERE n = {window}"""
 
 
-_LINE_PAIRS = ", ".join(f"('{a}', '{b}')" for a, b in breadth.focus_pairs([("RF", "AF")], "NO", ["AF", "NF", "NO", "RF", "ZZ"]))
+_LINE_PAIRS = ", ".join(f"('{a}', '{b}')" for a, b in breadth.focus_pairs([("RF", "AF")], "NO", LINE_ASSETS))
 _STATS = "count(rho) AS n_windows, {iso_min} AS first_window_end, {iso_max} AS last_window_end, round(median(rho), 9) AS median, round(quantile_cont(rho, 0.1), 9) AS p10, round(quantile_cont(rho, 0.9), 9) AS p90, round(min(rho), 9) AS min, round(max(rho), 9) AS max, round(arg_max(rho, day), 9) AS latest".format(iso_min=_ISO("min(day)"), iso_max=_ISO("max(day)"))
 _ROLLING_PAIRS = f"""
 WITH {_LINE_LEVELS}, {_DAILY}, rolled AS ({_sql_rolling('daily', WINDOW)}),
@@ -501,12 +536,38 @@ SELECT asset_1, asset_2, q."window", n_windows, first_window_end, last_window_en
   CASE WHEN asset_1 NOT IN (SELECT asset FROM have) OR asset_2 NOT IN (SELECT asset FROM have) THEN 'UNAVAILABLE' WHEN n_windows IS NULL THEN 'SKIPPED_SHORT_HISTORY' ELSE 'OK' END AS status
 FROM asked q LEFT JOIN stats s ON s.low = least(asset_1, asset_2) AND s.high = greatest(asset_1, asset_2) AND s."window" = q."window" """
 
+def _sql_matrix_powers(n: int) -> str:
+    """Traces of the powers of the correlation matrix, which are the sums of the powers of its eigenvalues and determine them."""
+    powers = ["m1 AS (SELECT asset_1 AS a, asset_2 AS b, rho AS v FROM p UNION ALL SELECT asset_2, asset_1, rho FROM p UNION ALL SELECT DISTINCT asset, asset, 1.0 FROM daily)"]
+    powers += [f"m{k} AS (SELECT x.a, y.b, sum(x.v * y.v) AS v FROM m{k - 1} x JOIN m1 y ON x.b = y.a GROUP BY ALL)" for k in range(2, n + 1)]
+    return f"WITH {_ORDER_LEVELS}, {_DAILY}, p AS ({_sql_pairs('daily', 'daily')}), " + ", ".join(powers) + " " + " UNION ALL ".join(f"SELECT {k} AS power, round(sum(v), 6) AS total FROM m{k} WHERE a = b" for k in range(1, n + 1))
+
+
+def _sql_clusters(n: int) -> str:
+    """Average linkage by its definition: the mean distance of all leaves of two clusters, the least pair merged, step by step."""
+    parts = [
+        "leaves AS (SELECT asset, row_number() OVER (ORDER BY asset) - 1 AS id FROM (SELECT DISTINCT asset FROM daily))",
+        "dist AS (SELECT asset_1 AS a, asset_2 AS b, sqrt(0.5 * (1 - least(1, greatest(-1, rho)))) AS d FROM p UNION ALL SELECT asset_2, asset_1, sqrt(0.5 * (1 - least(1, greatest(-1, rho)))) FROM p)",
+        "c0 AS (SELECT id AS cluster, asset, id AS place FROM leaves)",
+    ]
+    for k in range(1, n):
+        parts += [
+            f"s{k} AS (SELECT x.cluster AS left_id, y.cluster AS right_id, avg(d) AS distance FROM c{k - 1} x JOIN c{k - 1} y ON x.cluster < y.cluster JOIN dist ON dist.a = x.asset AND dist.b = y.asset GROUP BY ALL ORDER BY round(distance, 14), left_id, right_id LIMIT 1)",
+            f"c{k} AS (SELECT CASE WHEN cluster IN (left_id, right_id) THEN {n + k - 1} ELSE cluster END AS cluster, asset, CASE WHEN cluster = right_id THEN place + {10 ** (k + 1)} ELSE place END AS place FROM c{k - 1}, s{k})",
+        ]
+    steps = " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS step, CAST(left_id AS INTEGER) AS left_id, CAST(right_id AS INTEGER) AS right_id, round(distance, 9) AS distance, (SELECT CAST(count(*) AS INTEGER) FROM c{k} WHERE cluster = {n + k - 1}) AS size, (SELECT string_agg(asset, '|' ORDER BY place) FROM c{k} WHERE cluster = {n + k - 1}) AS members FROM s{k}" for k in range(1, n))
+    return f"WITH {_ORDER_LEVELS}, {_DAILY}, p AS ({_sql_pairs('daily', 'daily')}), {', '.join(parts)} {steps}"
+
+
 SQL = {
+    "eigenvalue_powers": _sql_matrix_powers(N_ORDER_ASSETS),
+    "asset_clusters": _sql_clusters(N_ORDER_ASSETS),
     "bars_economic": _sql_known_bars(False),
     "bars_replay": _sql_known_bars(True),
     "bar_ids": _BAR_IDS,
     "bar_violations": "SELECT rule, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS rule FROM market_bars WHERE {c}" for n, c in _RULES.items()) + ") GROUP BY rule",
-    "bar_log_months": "WITH s AS (SELECT year(trade_date) AS year, month(trade_date) AS month, count(*) AS submitted, count(DISTINCT observation_id) AS stored FROM market_bars GROUP BY ALL) SELECT CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month, submitted, stored FROM s",
+    "bar_log_months": """WITH ids AS (SELECT observation_id, any_value(trade_date) AS trade_date, count(*) AS n, count(DISTINCT historical_data_semantics) AS k FROM market_bars GROUP BY observation_id)
+SELECT CAST(year(trade_date) AS INTEGER) AS year, CAST(month(trade_date) AS INTEGER) AS month, CAST(sum(n) AS BIGINT) AS submitted, count(*) FILTER (WHERE k <= 1) AS stored, count(*) FILTER (WHERE k > 1) AS refused FROM ids GROUP BY 1, 2""",
     "bar_revisions": f"WITH {_BARS} SELECT f.symbol, {_ISO('trade_date')} AS trade_date, src AS source, count(*) AS n_rows, count(DISTINCT value_hash) AS n_contents, min(epoch_us(ingest_time)) AS first_us, max(epoch_us(ingest_time)) AS last_us, arg_max(close, (ingest_time, bar_seq)) AS last_close FROM bars b JOIN funds f USING (fund) GROUP BY f.symbol, trade_date, src",
     "provisional_bars": f"WITH {_BARS} SELECT src AS source, count(*) AS n_rows, count(*) FILTER (WHERE ingest_time < available_time) AS n_provisional FROM bars GROUP BY src",
     "calendar_days": f"WITH {_BARS} SELECT {_ISO('trade_date')} AS trade_date, bar_seq FROM bars WHERE available_time <= {SQL_AS_OF} AND ingest_time <= {SQL_AS_OF} QUALIFY row_number() OVER (PARTITION BY bars.trade_date ORDER BY available_time DESC, ingest_time DESC, src DESC, bar_seq DESC) = 1",
@@ -524,6 +585,7 @@ SELECT symbol, first_day, last_day, n_days FROM (SELECT fund, run, {_ISO('min(tr
 SELECT src AS source, CAST(sum(n) AS BIGINT) AS submitted, min(all_first) AS submitted_first, count(*) AS stored, min(first) AS stored_first FROM s GROUP BY src""",
     "metadata_sources": f"WITH {_META} SELECT f.symbol, count(DISTINCT source) AS n_sources FROM meta JOIN funds f USING (fund) GROUP BY f.symbol HAVING count(DISTINCT source) > 1",
     "metadata_resolved": _RESOLVED,
+    "metadata_resolved_whole": _sql_resolved(WHOLE_FIELDS, _WHOLE_POLICY),
     "metadata_resolved_json": _RESOLVED_JSON,
     "unknown_sources": f"SELECT DISTINCT {sql_token('source')} AS source FROM field_candidates WHERE {sql_token('source')} NOT IN (SELECT {sql_token('source')} FROM resolution_policy)",
     "metadata_overlaps": _OVERLAPS,

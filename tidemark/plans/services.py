@@ -52,7 +52,7 @@ def diagnostic(levels: DataFrame, registry: DataFrame, *, focus: list[tuple[str,
     out = {"coverage": returns.coverage(registry, levels), "data_quality": returns.level_warnings(levels)}
     out["pairwise_correlations"] = breadth.pair_correlations(daily, "daily", registry).unionByName(breadth.pair_correlations(weekly, "weekly", registry))
     asked = spark.createDataFrame(focus, "asset_1 string, asset_2 string")
-    out["rolling_pair_correlations"] = breadth.rolling_statistics(daily, asked, windows, registry)
+    out["rolling_pair_correlations"] = breadth.rolling_statistics(daily, asked, windows)
     out["redundancy"] = breadth.redundancy(breadth.pair_correlations(daily, "daily", registry), out["rolling_pair_correlations"], windows[-1])
     out["rolling_effective_breadth"] = breadth.rolling_breadth(daily, len(assets), windows[-1])
     for name, r in (("daily", daily), ("weekly", weekly)):

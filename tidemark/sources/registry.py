@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import logging
 import re
+from datetime import date, datetime
 from pathlib import Path
 from typing import Any
 
@@ -87,6 +88,31 @@ def reconciliation_settings(content: dict[str, Any]) -> dict[str, float]:
     return out
 
 
+INDEX_SHAPE = "index_code string, base_date date, launch_date date, methodology_version string, is_total_return boolean, source string, availability_class string, effective_from date, effective_to date, available_time timestamp, ingest_time timestamp, snapshot_at timestamp, source_note string"
+
+
+def index_registry(spark: SparkSession, content: dict[str, Any]) -> DataFrame:
+    """Descriptions of indices; the instant at which one was known is its available, ingest and snapshot time. UNKNOWN is null."""
+    rows = content.get("indexes", [])
+    if not isinstance(rows, list) or not all(isinstance(r, dict) for r in rows):
+        raise ContractError("indexes must be a list of mappings")
+    known = lambda v: None if v in (None, "", "UNKNOWN") else v
+    day = lambda v: None if known(v) is None else date.fromisoformat(str(v))
+    out = []
+    for i, r in enumerate(rows):
+        if lacking := [k for k in ("index_code", "source", "source_note", "known_at") if not r.get(k)]:
+            raise ContractError(f"indexes[{i}] lacks {lacking}")
+        at = datetime.fromisoformat(str(r["known_at"]))
+        if at.tzinfo is None:
+            raise ContractError(f"indexes[{i}].known_at must have a time zone")
+        version = known(r.get("methodology_version"))
+        out.append((
+            str(r["index_code"]), day(r.get("base_date")), day(r.get("launch_date")), None if version is None else str(version), r.get("is_total_return"), str(r["source"]),
+            str(r.get("availability_class", "snapshot_only")), day(r.get("effective_from")), day(r.get("effective_to")), at, at, at, str(r["source_note"]),
+        ))
+    return spark.createDataFrame(out, INDEX_SHAPE)
+
+
 class Redaction(logging.Filter):
     """Keeps credentials out of log records."""
 

@@ -21,4 +21,4 @@ def write_report(tables: dict[str, DataFrame], root: str, formats: tuple[str, ..
     for name, df in tables.items():
         flat = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes])
         for kind in formats:
-            (df if kind in ("json", "parquet") else flat).coalesce(1).write.mode("overwrite").format(kind).options(header="true").save(f"{root}/{name}.{kind}")
+            (df if kind in ("json", "parquet") else flat).write.mode("overwrite").format(kind).options(header="true").save(f"{root}/{name}.{kind}")

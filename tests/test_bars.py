@@ -58,6 +58,8 @@ def test_json_escapes_and_nulls(spark):
     content = {"symbol": text, "b": None, "a": 1}
     assert got.x == json.dumps(content, sort_keys=True, separators=(",", ":"))
     assert got.y == json.dumps(content, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    runs = df.select(identity.sorted_json(values, ascii_only=True, plain=("a",)).alias("x")).first()
+    assert runs.x == got.x
     assert got.z == hashlib.sha256(got.y.encode()).hexdigest()
 
 
@@ -144,12 +146,18 @@ def test_migration_of_older_schemas(spark, tmp_path):
     root = str(tmp_path / "log")
     old = frame(spark, bar(), bar(day=date(2024, 2, 5))).drop("availability_policy_id", "historical_data_semantics").withColumn("observation_id", F.lit("x")).withColumn("payload_hash", F.lit("y"))
     old.withColumn("year", F.year("trade_date")).withColumn("month", F.month("trade_date")).write.partitionBy("year", "month").parquet(root)
-    assert set(revlog.schema_versions(spark, root).values()) == {2}
+    assert list(revlog.schema_versions(spark, root).values()) == [[2], [2]]
     with pytest.raises(revlog.SchemaError):
         revlog.read_log(spark, root)
     assert revlog.migrate(spark, root) == 2 and revlog.migrate(spark, root) == 0
     rows = revlog.read_log(spark, root).collect()
     assert {r.availability_policy_id for r in rows} == {"legacy_inferred_daily_bar_900s"} and len(rows) == 2
+    old.where("trade_date < '2024-02-01'").drop("observation_id", "payload_hash").withColumn("close", F.lit("4.05").cast("decimal(28,8)")).coalesce(1).write.mode("append").parquet(revlog.month_folders(spark, root)[0])
+    assert list(revlog.schema_versions(spark, root).values()) == [[1, 3], [3]]  # one stray file
+    with pytest.raises(revlog.SchemaError):
+        revlog.read_log(spark, root, date(2024, 1, 1), date(2024, 1, 31))
+    assert revlog.read_log(spark, root, date(2024, 2, 1)).count() == 1  # other months are not looked at
+    assert revlog.migrate(spark, root) == 2 and revlog.read_log(spark, root).count() == 3
     assert revlog.schema_version([n for n, _ in revlog.BAR_FIELDS]) == 1
     with pytest.raises(revlog.SchemaError):
         revlog.schema_version(["symbol"])
@@ -211,6 +219,9 @@ def test_days_are_finalized_by_retrieval_after_the_cut_off(spark):
     rows = spark.createDataFrame([raw(4, ts(4, 7, 3)), raw(5, ts(5, 7, 3)), raw(5, ts(5, 7, 15)), raw(5, ts(5, 8, 0)), raw(8, None)], RAW)
     assert {(r.trade_date.day, r.state, r.n_records) for r in rawcache.day_states(rows).collect()} == {(4, "provisional", 1), (5, "finalized", 3)}
     assert rawcache.finalized_records(rows).count() == 2
+    early = spark.createDataFrame([(date(2024, 1, 4), ts(4, 4)), (date(2024, 1, 5), ts(5, 7, 30))], "trade_date date, cut_off timestamp")
+    assert sorted(r.trade_date.day for r in rawcache.finalized_records(rows, cut_offs=early).collect()) == [4, 5]
+    assert [r.trade_date.day for r in rawcache.finalized_records(rows, cut_offs=early, states=rawcache.day_states(rows)).collect()] == [5]
     only = spark.createDataFrame([(date(2024, 1, 4),)], "trade_date date")
     assert rawcache.day_states(rows, expected=only).count() == 1
 

@@ -86,7 +86,7 @@ def test_rolling_correlations_against_numpy(spark, window):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(37, 3)) + 0.2
     x[10:20, 2] = 0.1
-    got = {(r.asset_1, r.asset_2, (r.day - date(2020, 1, 1)).days): r.rho for r in breadth.rolling_correlations(series(spark, x), window).collect()}
+    got = {(r.asset_1, r.asset_2, (r.day - date(2020, 1, 1)).days): r.rho for r in breadth.rolling_correlations(breadth.pairs(series(spark, x)), window).collect()}
     assert len(got) == 3 * (37 - window + 1)
     for a, b in combinations(range(3), 2):
         for end in range(window - 1, 37):
@@ -98,6 +98,20 @@ def test_rolling_correlations_against_numpy(spark, window):
                 assert rho == pytest.approx(np.corrcoef(part[:, a], part[:, b])[0, 1], abs=1e-9)
 
 
+def test_pairs_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(breadth, "BLOCK", 2)
+    x = np.random.default_rng(3).normal(size=(25, 6))
+    x[:9, 1] = np.nan
+    x[10:, 4] = np.nan
+    got = {(r.asset_1, r.asset_2): r for r in breadth.pair_correlations(series(spark, x).where("NOT isnan(ret)"), "daily").collect()}
+    assert len(got) == 15
+    for i, j in combinations(range(6), 2):
+        both = np.flatnonzero(~np.isnan(x[:, i]) & ~np.isnan(x[:, j]))
+        row = got["abcdef"[i], "abcdef"[j]]
+        assert (row.n_obs, row.start_date, row.end_date) == (len(both), date(2020, 1, 1) + timedelta(int(both[0])), date(2020, 1, 1) + timedelta(int(both[-1])))
+        assert row.rho is None if len(both) < 2 else row.rho == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-12)
+
+
 def test_rolling_statistics_and_breadth(spark):
     x = np.random.default_rng(7).normal(size=(30, 3))
     r = series(spark, x)
@@ -229,7 +243,6 @@ def test_contract_queries(spark):
     assert [(r.k, r.rule) for r in quality.row_rules(df, ["k"], {"big": F.col("v") > 4, "odd": F.lit(None).cast("boolean")}).collect()] == [("b", "big")]
     target = spark.createDataFrame([(1,), (1,), (2,)], "id int")
     assert {(r.value, r.n_matches) for r in quality.references(df, "v", target, "id").collect()} == {(1, 2), (3, 0), (5, 0)}
-    assert [r.v for r in quality.missing_from(df.select(F.col("v").alias("v")).where("v > 2"), target.withColumnRenamed("id", "v"), "v").orderBy("v").collect()] == [3, 5]
     counts = {r.k: (r.n_rows, r.n_big, r.labels, r.status) for r in quality.coverage_counts(df.withColumn("l", F.col("v").cast("string")), "k", "l", {"n_big": F.col("v") > 4}, "n_big").collect()}
     assert counts == {"a": (3, 0, "1;2;3", "PARTIAL"), "b": (2, 1, "5", "COVERED")}
 
@@ -311,6 +324,43 @@ def test_registries(spark, tmp_path):
     assert record.getMessage() == "token=***"
 
 
+def test_index_registry(spark):
+    row = {"index_code": "H30184", "source": "s", "source_note": "n", "known_at": "2025-01-02T09:00:00+08:00", "launch_date": "2020-01-02", "base_date": "UNKNOWN", "methodology_version": 2}
+    got = registry.index_registry(spark, {"indexes": [row]}).first()
+    assert (got.launch_date, got.base_date, got.methodology_version, got.availability_class) == (date(2020, 1, 2), None, "2", "snapshot_only")
+    assert got.available_time == got.ingest_time == got.snapshot_at
+    for bad in ({"indexes": [row | {"known_at": "2025-01-02T09:00:00"}]}, {"indexes": [row | {"source_note": ""}]}, {"indexes": {}}):
+        with pytest.raises(registry.ContractError):
+            registry.index_registry(spark, bad)
+    assert registry.index_registry(spark, {}).count() == 0
+
+
+def test_stores_take_each_key_once(spark, tmp_path):
+    root, rows = str(tmp_path / "s"), table(spark, meta(at=3, h="x"), meta(at=1, h="x"), meta(at=2, h="y"))
+    assert [observations.append_once(part, root, "provider_payload_hash") for part in (rows.limit(0), rows, rows)] == [0, 2, 0]
+    assert spark.read.parquet(root).count() == 2
+
+
+def test_calendar_observations_and_cut_offs(spark):
+    days = lambda half: spark.createDataFrame([("CN", date(2024, 1, 2), half, "p", t(9))], "market string, trade_date date, is_half_day boolean, provider string, retrieved_at timestamp")
+    row = observations.calendar_observations(days(None)).first()
+    assert row.available_time == row.session_close and row.availability_policy_id == "historical_calendar_session_close_v1" and row.is_half_day is False
+    with pytest.raises(PySparkException, match="unverified"):
+        observations.calendar_observations(days(True)).collect()
+    whole = observations.calendar_observations(days(False))
+    assert [c for c in whole.select(*[F.coalesce(c, F.lit(True)).alias(n) for n, c in observations.calendar_rules().items()]).first()] == [False] * 3
+    cut = observations.cut_offs(whole).select(F.unix_seconds("cut_off").alias("c")).first().c
+    assert cut == whole.select(F.unix_seconds("session_close").alias("c")).first().c + 900
+
+
+def test_payloads_and_invariants(spark):
+    rows = table(spark, meta(h="x"), meta(h=""), meta(h="y", index=None))
+    back = rows.select(*observations.decoded(observations.encoded(rows, ["tracking_index", "iopv", "effective_from"]), {"tracking_index": "string", "iopv": dict(rows.dtypes)["iopv"], "effective_from": "date", "more": "string"}, {"more": F.lit("d")}))
+    assert sorted(map(str, back.drop("more").collect())) == sorted(map(str, rows.select("tracking_index", "iopv", "effective_from").collect())) and {r.more for r in back.collect()} == {"d"}
+    index = rows.withColumn("index_code", F.col("tracking_index"))
+    assert {r.rule for r in quality.row_rules(index, ["symbol"], observations.index_rules()).collect()} == {"empty_identifier"}
+
+
 def test_columns_in_module_scope_need_no_session():
     import subprocess
     import sys

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import quality, revlog
 from tidemark.plans import services
-from tidemark.sources.connectors import RAW_BAR_SCHEMA, ProviderError, capability
+from tidemark.sources.connectors import RAW_BAR_SCHEMA, ProviderError, capability, fetch_bars
 from tidemark.sources.sinks import write_report
 
 UTC = timezone.utc
@@ -37,6 +37,29 @@ def test_only_missing_days_are_fetched_and_ingested_once(spark, tmp_path):
     assert {(r.trade_date.day, str(r.close.normalize())) for r in revlog.read_log(spark, root).collect()} == {(2, "4"), (3, "4.05"), (4, "4.05")}
 
 
+def test_ranges_are_fetched_on_the_executors(spark):
+    missing = spark.createDataFrame([("510300.SH", date(2024, 1, 3), date(2024, 1, 4)), ("510300.SH", date(2024, 1, 8), date(2024, 1, 8))], "symbol string, first_day date, last_day date")
+
+    class Remote:
+        def daily_bars(self, symbol, start, end):
+            from datetime import datetime, timezone
+
+            return [{"symbol": symbol, "close": "4.05", "volume": 100, "provider_timestamp": datetime(2024, 1, d, tzinfo=timezone.utc)} for d in range(start.day, end.day + 1)]
+
+    there = fetch_bars(spark, Remote(), missing, on_executors=True).collect()
+    assert sorted(r.provider_timestamp.day for r in there) == [3, 4, 8] and {(r.symbol, r.close, r.volume) for r in there} == {("510300.SH", "4.05", 100)}
+
+
+def test_shared_folders_are_asked_for_beyond_one_machine(spark):
+    from types import SimpleNamespace as Some
+
+    from tidemark.session import ensure_checkpoint_dir
+
+    context = Some(getCheckpointDir=lambda: None, getConf=lambda: Some(get=lambda *_: None), master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Some(sparkContext=context, conf=Some(get=lambda *_: None)))
+
+
 def test_adjusted_bars_are_refused_before_anything_is_read():
     with pytest.raises(ValueError, match="unadjusted"):
         services.ingest_daily_bars(None, "nowhere", adjust="forward")

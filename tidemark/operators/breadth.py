@@ -7,20 +7,17 @@ eigenvalues sum to N and their squares to the squared entries, so it is N^2 / su
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.normalize import redundancy_band, structural
 from tidemark.session import bounded_broadcast, cut_lineage
 
+BLOCK = 64  # assets of a block
 MOST_IN_MATRIX = 2_000  # assets of a matrix on the driver: 32 MB
 
 
-def _rho(a: Column, b: Column) -> Column:
-    """Pearson correlation; null for a constant side, where ``corr`` would divide by zero."""
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-
-
 def ordered(returns: DataFrame, order: DataFrame | None = None) -> DataFrame:
     """Adds ``ord``: the asset's place in a registry ``(asset, ord)``, by name without one."""
     if order is None:
@@ -46,10 +43,50 @@ def asked_pairs(returns: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def pair_correlations(returns: DataFrame, frequency: str, order: DataFrame | None = None) -> DataFrame:
-    """``(asset_1, asset_2, frequency, start_date, end_date, n_obs, rho, band)``; pairs of fewer than two days have no rho."""
-    rho = F.when(F.count("*") >= 2, _rho(F.col("a"), F.col("b")))
-    out = pairs(returns, order).groupBy("asset_1", "asset_2").agg(F.min("day").alias("start_date"), F.max("day").alias("end_date"), F.count("*").alias("n_obs"), rho.alias("rho"))
-    return out.withColumn("frequency", F.lit(frequency)).withColumn("band", redundancy_band("rho"))
+    """``(asset_1, asset_2, frequency, start_date, end_date, n_obs, rho, band)`` of all pairs with a common day, in registry order.
+
+    Pairs of fewer than two days, and pairs with a constant side, have no rho. No pair of values is ever a row: the assets are cut
+    into blocks of ``BLOCK``, the returns of two blocks meet in one task (at most twice ``BLOCK`` values a day), and their moments
+    over the common days are matrix products. A return goes to as many tasks as there are blocks.
+    """
+    r = ordered(returns, order).where("ret IS NOT NULL AND day IS NOT NULL").select("asset", "ord", "day", "ret", F.expr(f"ord div {BLOCK}").alias("_own"))
+    blocks = r.select("_own").distinct().agg(F.sort_array(F.collect_set("_own")).alias("_blocks"))  # one row
+    met = r.join(F.broadcast(blocks)).withColumn("_other", F.explode("_blocks")).withColumn("_low", F.least("_own", "_other")).withColumn("_high", F.greatest("_own", "_other"))
+    shape = "asset_1 string, asset_2 string, start_date date, end_date date, n_obs long, rho double"
+    out = met.select("asset", "ord", "day", "ret", "_own", "_low", "_high").groupBy("_low", "_high").applyInPandas(_block_correlations, shape)
+    return out.withColumn("frequency", F.lit(frequency)).withColumn("band", redundancy_band("rho")).select("asset_1", "asset_2", "start_date", "end_date", "n_obs", "rho", "frequency", "band")
+
+
+def _block_correlations(group: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of two blocks of assets, or of one block with itself."""
+    days, day = np.unique(group["day"].to_numpy(), return_inverse=True)
+    sides = []
+    for block in (group["_low"].iloc[0], group["_high"].iloc[0]):
+        own = (group["_own"] == block).to_numpy()
+        names = group.loc[own, ["ord", "asset"]].drop_duplicates().sort_values("ord")
+        place = np.searchsorted(names["ord"].to_numpy(), group.loc[own, "ord"].to_numpy())
+        x = np.full((len(days), len(names)), np.nan)
+        x[day[own], place] = group.loc[own, "ret"].to_numpy()
+        has = ~np.isnan(x)
+        x = np.where(has, x - np.nanmean(x, axis=0), 0.0)  # moments about the mean lose no digits
+        sides.append((names, x, has))
+    (left, x, in_x), (right, y, in_y) = sides
+    n = in_x.T.astype(float) @ in_y
+    every = np.maximum(n, 1)
+    a, b, ab = x.T @ in_y / every, in_x.T @ y / every, x.T @ y / every
+    aa, bb = (x * x).T @ in_y / every, in_x.T @ (y * y) / every
+    spread_a, spread_b = (np.where(v - m * m > 1e-13 * v, v - m * m, np.nan) for v, m in ((aa, a), (bb, b)))
+    rho = np.where(n >= 2, (ab - a * b) / np.sqrt(spread_a * spread_b), np.nan)
+    i, j = np.nonzero((n > 0) & (left["ord"].to_numpy()[:, None] < right["ord"].to_numpy()))
+    first, last = np.zeros(n.shape, dtype=int), np.zeros(n.shape, dtype=int)
+    for k in range(len(left)):
+        common = in_x[:, k, None] & in_y
+        first[k], last[k] = common.argmax(axis=0), len(days) - 1 - common[::-1].argmax(axis=0)
+    value = pd.Series(rho[i, j], dtype=object)
+    return pd.DataFrame({
+        "asset_1": left["asset"].to_numpy()[i], "asset_2": right["asset"].to_numpy()[j], "start_date": days[first[i, j]], "end_date": days[last[i, j]],
+        "n_obs": n[i, j].astype(int), "rho": value.where(value.notna(), None),
+    })
 
 
 def common_window(returns: DataFrame, n_assets: int) -> DataFrame:

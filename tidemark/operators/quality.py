@@ -34,10 +34,6 @@ def overlaps(df: DataFrame, key: list[str], start: str, end: str, ties: list[str
     return df.where(F.col(start).isNotNull()).withColumn("_reach", reach).where(F.col("_reach") > F.col(start)).drop("_reach")
 
 
-def missing_from(expected: DataFrame, have: DataFrame, column: str) -> DataFrame:
-    return expected.select(column).distinct().join(have.select(column).distinct(), column, "left_anti")
-
-
 def layered(*layers: Column) -> Column:
     """The value of the first layer that has one, for defaults of root, group and item."""
     return F.coalesce(*layers)

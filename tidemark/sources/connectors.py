@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from typing import Any, Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,10 +64,24 @@ def chunked(fetch: Callable[[date, date], list[Any]], start: date, end: date, da
     return [row for a, b in chunks(start, end, days) for row in with_retry(lambda a=a, b=b: fetch(a, b), **retry)]
 
 
-def fetch_bars(spark: SparkSession, provider: BarProvider, missing: DataFrame, key: str = "symbol", **retry: Any) -> DataFrame:
-    """Fetch the missing ranges ``(key, first_day, last_day)`` in order; ranges per call, not rows, come to the driver."""
-    rows = [r for m in missing.orderBy(key, "first_day").collect() for r in with_retry(lambda m=m: provider.daily_bars(m[key], m.first_day, m.last_day), **retry)]
-    return spark.createDataFrame(rows, RAW_BAR_SCHEMA)
+def fetch_bars(spark: SparkSession, provider: BarProvider, missing: DataFrame, key: str = "symbol", *, on_executors: bool = False, **retry: Any) -> DataFrame:
+    """Fetch the missing ranges ``(key, first_day, last_day)``, in order one after the other, or on the executors.
+
+    ``on_executors`` sends the provider to the tasks, so it must be picklable; each task then asks for its own ranges, and no
+    bar passes through the driver. Providers that allow one caller only are asked from the driver.
+    """
+    if not on_executors:
+        rows = [r for m in missing.orderBy(key, "first_day").collect() for r in with_retry(lambda m=m: provider.daily_bars(m[key], m.first_day, m.last_day), **retry)]
+        return spark.createDataFrame(rows, RAW_BAR_SCHEMA)
+    names = [part.strip().split(" ")[0] for part in RAW_BAR_SCHEMA.split(",")]
+
+    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for m in part.itertuples(index=False):
+                found = with_retry(lambda m=m: provider.daily_bars(m[0], m[1], m[2]), **retry)
+                yield pd.DataFrame([[r.get(n) for n in names] for r in found], columns=names)
+
+    return missing.select(key, "first_day", "last_day").mapInPandas(ask, RAW_BAR_SCHEMA)
 
 
 def require_columns(df: DataFrame, wanted: list[str]) -> DataFrame:
@@ -93,8 +108,12 @@ def last_per_day(levels: DataFrame) -> DataFrame:
 
 
 def probe(static: DataFrame, history: DataFrame, symbol: str) -> str:
-    """RESOLVED if exactly one listing of the symbol exists and it has history, else UNRESOLVED."""
-    one = static.where(F.col("symbol") == symbol).limit(2).count() == 1
+    """RESOLVED if exactly one listing of the symbol exists, is named and has no other status than listed, and there is history."""
+    own = static.where(F.col("symbol") == symbol)
+    named = F.coalesce(F.trim("name"), F.lit("")) != "" if "name" in static.columns else F.lit(True)
+    listed = F.coalesce(F.lower("status"), F.lit("listed")) == "listed" if "status" in static.columns else F.lit(True)
+    rows = own.select((named & listed).alias("good")).limit(2).collect()
+    one = len(rows) == 1 and rows[0].good
     return "RESOLVED" if one and not history.where(F.col("symbol") == symbol).limit(1).isEmpty() else "UNRESOLVED"
 
 

@@ -198,6 +198,8 @@ def _assign(over: DataFrame, keys: list[str], fields: list[str], limit: int) ->
         return out
 
     shape = over.schema["row"].dataType.simpleString()
+    # A group costs time and few bytes, so the number of tasks is set, not left to the size of the rows.
+    text = text.repartition(2 * over.sparkSession.sparkContext.defaultParallelism, *keys)
     paired = text.groupBy(*keys).applyInPandas(pair, f"{key_shape}, l string, r string, copies long, extra boolean")
     return paired.select(*keys, *[F.from_json(c, shape).alias(c) for c in ("l", "r")], "copies", "extra")
 

@@ -11,7 +11,7 @@
    subjects or none.
 
 Counts are whole thousandths, so sums do not depend on the order of tasks. What a pass sends to the driver is at most one row
-per hash bucket, and 21 numbers for every 10 subjects and reviewed document, whatever the corpus; the model is as large.
+per hash bucket, and three numbers per subject and reviewed document, whatever the corpus; the model is as large.
 """
 
 from __future__ import annotations

@@ -64,7 +64,7 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
 
 
 def stored(spark: SparkSession, path: str) -> bool:
-    """Whether a table was written to ``path`` and committed."""
+    """Whether a table was written to ``path`` and committed. The committer's success marks must be left switched on."""
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
